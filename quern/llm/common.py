@@ -64,5 +64,11 @@ def texts(column: pa.Array) -> list[str]:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the size of df; 0 if it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+def partitions_for(df: DataFrame, partition_bytes: int = 32 << 20) -> int:
+    """The session's shuffle partitions, or more where the input asks for them."""
+    return int(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, input_bytes(df) // partition_bytes)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, lines, packing, simhash
+from quern.llm import audio, bpe, chat, lines, packing, quality, rollups, simhash, suffixes, urls
 from quern.llm.common import new_folder
 
 
@@ -15,6 +15,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(extra))
+
+
+def op2_chroma_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables hold no audio, so each embedding is played as a tone for each of its values."""
+    return audio.search(table(spark, folder, "embeddings"), "vec_id", "embedding", audio.sonify)
+
+
 def op3_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.digests(table(spark, folder, "documents"))
 
@@ -28,6 +39,23 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), coder)
 
 
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.verdicts(table(spark, folder, "documents"))
+
+
+def op7_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    coder = bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return rollups.retokenized(table(spark, folder, "documents"), new_folder(spark, "token-rollup"), coder)
+
+
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digests(table(spark, folder, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.verdicts(table(spark, folder, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     index = lines.LineIndex(spark, new_folder(spark, "line-index"), shards=lines.LineIndex.shards_for(documents))
@@ -36,7 +64,19 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash_near_duplicates, op4_hilbert_packing, op5_byte_bpe, op10_line_dedup)
+    f.__name__: f
+    for f in (
+        op1_chat_format,
+        op2_chroma_fingerprints,
+        op3_simhash_near_duplicates,
+        op4_hilbert_packing,
+        op5_byte_bpe,
+        op6_quality_rules,
+        op7_token_rollups,
+        op8_suffix_dedup,
+        op9_url_filter,
+        op10_line_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
