@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import ship, staged
 
 RATE, FRAME, HOP, CHROMA = 5512, 2048, 683, 12
-#: Frames under each filter, and frames between the two items that make a key of the index.
-WIDTH, STRIDE = 16, 8
+#: Frames under each filter, and frames between the three half items that make a key of the index.
+WIDTH, STRIDE = 16, 5
 LOWEST, HIGHEST = 55.0, 2600.0
 
 
@@ -148,19 +148,36 @@ def class_members(prints: DataFrame) -> DataFrame:
     return marked.join(first, "digest").select("id", "items", "class_id")
 
 
-def align(queries: DataFrame, classes: DataFrame, most_errors: float = 0.15, least_overlap: int = 16) -> DataFrame:
+def index_keys(items: np.ndarray, probe: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place): of every three items STRIDE frames apart their upper and their lower halves.
+    Probes also ask for each key with one bit the other way, for what an error has changed."""
+    wide = items.astype(np.int64)
+    room = max(0, len(wide) - 2 * STRIDE)
+    keys, places = [], []
+    for tag, shift in ((1, 16), (2, 0)):
+        half = (wide >> shift) & 0xFFFF
+        key = (tag << 60) | (half[:room] << 32) | (half[STRIDE : STRIDE + room] << 16) | half[2 * STRIDE : 2 * STRIDE + room]
+        for flip in (0, *(1 << bit for bit in range(48))) if probe else (0,):
+            keys.append(key ^ flip)
+            places.append(np.arange(room))
+    return np.concatenate(keys), np.concatenate(places)
+
+
+def align(queries: DataFrame, classes: DataFrame, most_errors: float = 0.125, least_overlap: int = 16) -> DataFrame:
     """(query, match, offset, overlap, bit_errors) of classes (class_id, items) against one another.
 
-    A key is two items STRIDE frames apart. Keys in common vote for an offset; the offset of most
+    Keys in common (see index_keys) vote for an offset; the offset of most
     votes (of ties the smallest) is then judged on all overlapping items by the share of bits that
     differ. Every vote counts; nothing is capped.
     """
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch], probe: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = [np.frombuffer(x, "<u4").astype(np.uint64) for x in batch.column("items").to_pylist()]
-            coded = [((x[:-STRIDE] << np.uint64(32)) | x[STRIDE:]).view(np.int64) if len(x) > STRIDE else np.zeros(0, np.int64) for x in items]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("class_id").to_numpy(zero_copy_only=False), [len(x) for x in coded])), pa.array(np.concatenate(coded)), pa.array(np.concatenate([np.arange(len(x)) for x in coded]))], names=["class_id", "key", "at"])
+            for k in range(0, batch.num_rows, 100):
+                some = batch.slice(k, 100)
+                coded = [index_keys(np.frombuffer(x, "<u4"), probe) for x in some.column("items").to_pylist()]
+                owner = np.repeat(some.column("class_id").to_numpy(zero_copy_only=False), [len(x) for x, _ in coded])
+                yield pa.RecordBatch.from_arrays([pa.array(owner), *(pa.array(np.concatenate(x)) for x in zip(*coded, strict=True))], names=["class_id", "key", "at"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,8 +193,8 @@ def align(queries: DataFrame, classes: DataFrame, most_errors: float = 0.15, lea
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["query", "match", "offset", "overlap", "bit_errors"])
 
     schema = "class_id long, key long, at long"
-    asked = queries.mapInArrow(keys, schema).select(F.col("class_id").alias("query"), "key", F.col("at").alias("query_at"))
-    held = classes.mapInArrow(keys, schema).select(F.col("class_id").alias("match"), "key", "at")
+    asked = queries.mapInArrow(lambda x: keys(x, True), schema).select(F.col("class_id").alias("query"), "key", F.col("at").alias("query_at"))
+    held = classes.mapInArrow(lambda x: keys(x, False), schema).select(F.col("class_id").alias("match"), "key", "at")
     votes = asked.join(held, "key").where("query <> match").groupBy("query", "match", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("query", "match").agg(F.max_by("offset", F.struct("n", -F.col("offset"))).alias("offset"))
     left = queries.select(F.col("class_id").alias("query"), F.col("items").alias("query_items"))

@@ -11,9 +11,9 @@ EVENTS = "conv_id long, seq long, kind string, turn long, role string, text stri
 
 
 def escape(text: Column) -> Column:
-    """Backslashes are doubled, then `</turn>` and runs of three # are broken by one; see unescape."""
+    """Backslashes are doubled, then `</turn>` and every # after two is preceded by one; see unescape."""
     doubled = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\"))
-    return F.regexp_replace(F.replace(doubled, F.lit("</turn>"), F.lit("<\\/turn>")), "#(?=##)", r"\\#")
+    return F.regexp_replace(F.replace(doubled, F.lit("</turn>"), F.lit("<\\/turn>")), "(?<=##)#", r"\\#")
 
 
 def escape_role(role: Column) -> Column:
