@@ -17,18 +17,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import new_folder, partitions_for, ship
+from quern.llm.common import input_bytes, new_folder, partitions_for, ship, staged
 
 GRAM = 32
 #: Bytes hashed at a time; also the room for positions below a truncated hash.
 CHUNK_BITS = 20
 SHALLOW = 24
 #: Anchors, and bytes of contexts, that a map task holds before it sends them on.
-ANCHORS_HELD = 1 << 21
-CONTEXT_BYTES_HELD = 96 << 20
+ANCHORS_HELD = 1 << 20
+CONTEXT_BYTES_HELD = 32 << 20
+#: Bytes of contexts whose windows are sorted together.
+SORTED_BYTES = 2 << 20
 
 _random = np.random.default_rng(20)
 _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -172,6 +175,16 @@ def column_values(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
+def batched(first: np.ndarray, times: np.ndarray, weight: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Positions of whole groups (first position, size, weight), as many at a time as weigh `most`."""
+    chunk = (np.cumsum(weight) - weight) // most
+    for k in np.unique(chunk):
+        mine = np.nonzero(chunk == k)[0]
+        yield np.concatenate([np.arange(a, a + n) for a, n in zip(first[mine].tolist(), times[mine].tolist(), strict=True)])
+
+
+#: Bytes of a digest that stands for a window.
+DIGEST = 16
 #: A row is a partition's share of what a task found: parallel arrays, packed.
 SENT = "part int, settled boolean, hash binary, rid binary, start binary, count binary, offset binary, doc binary, context binary"
 KINDS = {"hash": "<u8", "rid": "<i8", "start": "<u4", "count": "u1", "offset": "u1", "doc": "<i8"}
@@ -189,7 +202,8 @@ def sent(part: np.ndarray, settled: bool, columns: dict[str, np.ndarray], contex
     if contexts is None:
         joined = pa.array([b""] * len(names), pa.binary())
     else:
-        joined = pa.array([b"".join([contexts[k] for k in order[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+        squeeze = zstandard.ZstdCompressor(3).compress
+        joined = pa.array([squeeze(b"".join([contexts[k] for k in order[a:b]])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([settled] * len(names)), *packed, joined], names=["part", "settled", *KINDS, "context"])
 
 
@@ -201,15 +215,36 @@ def received(batches: Iterator[pa.RecordBatch]) -> tuple[dict[str, np.ndarray],
     for settled in (True, False):
         some = rows.filter(pa.compute.equal(rows.column("settled"), settled))
         halves.append({k: column_values(some.column(k), v) for k, v in KINDS.items()})
-    return halves[0], halves[1], b"".join(some.column("context").to_pylist())
+    return halves[0], halves[1], b"".join(map(zstandard.ZstdDecompressor().decompress, filter(None, some.column("context").to_pylist())))
+
+
+#: Consecutive rids that share a row on the way back to their documents, as a shift.
+GROUP_BITS = 6
 
 
-def by_document(rid: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """One row for each rid with its items packed."""
-    order = np.argsort(rid, kind="stable")
-    names, first = np.unique(rid[order], return_index=True)
+def packed_by(key: str, names: np.ndarray, rid: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row for each name (in column `key`) with its items packed, the rids among them."""
+    order = np.lexsort((rid, names))
+    kept, first = np.unique(names[order], return_index=True)
     bounds = np.append(first, len(rid))
-    return pa.RecordBatch.from_arrays([pa.array(names), *(binaries(x[order], bounds) for x in columns.values())], names=["_rid", *columns])
+    return pa.RecordBatch.from_arrays([pa.array(kept), *(binaries(x[order], bounds) for x in ({"rid": rid} | columns).values())], names=[key, "rid", *columns])
+
+
+def by_group(rid: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return packed_by("_group", rid >> GROUP_BITS, rid, columns)
+
+
+def by_document(found: DataFrame, kinds: dict[str, str], parts: int) -> DataFrame:
+    """Rows by group and sender become one row for each rid, its items packed."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            rid = np.concatenate([column_values(x.column("rid"), "<i8") for x in held])
+            made = packed_by("_rid", rid, rid, {k: np.concatenate([column_values(x.column(k), v) for x in held]) for k, v in kinds.items()})
+            yield made.select(["_rid", *kinds])
+
+    return found.repartition(parts, "_group").mapInArrow(gather, "_rid long, " + ", ".join(f"{k} binary" for k in kinds))
 
 
 def stored(documents: DataFrame, buckets: int) -> DataFrame:
@@ -228,8 +263,12 @@ def stored(documents: DataFrame, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
-def repeated_anchors(documents: DataFrame, length: int, parts: int) -> DataFrame:
-    """(_rid, start, count, offset): packed runs of windows whose anchor's hash occurs twice or more."""
+def repeated_anchors(documents: DataFrame, length: int, parts: int, hot: int) -> DataFrame:
+    """(_group, rid, start, count, offset): packed runs of windows whose anchor's hash occurs twice or more.
+
+    Rows of _group -1 hold in `start` the hashes that occur `hot` times or more. A task sends one item
+    for each hash, with the number of its occurrences, however many it has seen.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -239,12 +278,13 @@ def repeated_anchors(documents: DataFrame, length: int, parts: int) -> DataFrame
             rid, start, count, offset, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
             _, first, inverse, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
             again = times[inverse] > 1
-            columns = {"rid": rid, "start": start, "count": count, "offset": offset, "hash": hashes}
-            known = {k: v[again] for k, v in columns.items() if k != "hash"}
+            columns = {"rid": rid, "start": start, "count": count, "offset": offset}
+            known = {k: v[again] for k, v in columns.items()}
             one = np.zeros(len(rid), bool)
             one[first] = True
             # What occurs here twice is settled and goes anywhere; its hash goes on once, marked by a count of 0.
             columns["count"] = np.where(again, 0, count)
+            columns |= {"hash": hashes, "doc": times[inverse]}
             rest = {k: v[one] for k, v in columns.items()}
             for x in (sent(known["rid"] % parts, True, known), sent((rest["hash"] % np.uint64(parts)).astype(np.int64), False, rest)):
                 if x is not None:
@@ -264,21 +304,30 @@ def repeated_anchors(documents: DataFrame, length: int, parts: int) -> DataFrame
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settled, open_, _ = received(batches)
-        _, inverse, times = np.unique(open_["hash"], return_inverse=True, return_counts=True)
+        names, inverse, times = np.unique(open_["hash"], return_inverse=True, return_counts=True)
         again = (times[inverse] > 1) & (open_["count"] > 0)
+        common = names[np.bincount(inverse, open_["doc"], len(names)) >= hot]
+        if len(common):
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), *map(pa.array, ([b""], [common.tobytes()], [b""], [b""]))], names=["_group", "rid", "start", "count", "offset"])
         columns = {k: np.concatenate([settled[k], open_[k][again]]) for k in ("rid", "start", "count", "offset")}
         if len(columns["rid"]):
-            yield by_document(columns.pop("rid"), columns)
+            yield by_group(columns.pop("rid"), columns)
 
-    exchanged = documents.select("_rid", "text").mapInArrow(find, SENT).repartition(parts, "part")
-    return exchanged.mapInArrow(match, "_rid long, start binary, count binary, offset binary")
+    exchanged = documents.select("_rid", "text").mapInArrow(find, SENT).repartitionById(parts, "part")
+    return exchanged.mapInArrow(match, "_group long, rid binary, start binary, count binary, offset binary")
 
 
 def repeats(documents: DataFrame, runs: DataFrame, length: int, parts: int) -> DataFrame:
-    """(_rid, begin, end): packed runs of bytes covered by strings that also start earlier.
+    """(_group, rid, begin, end): packed runs of bytes covered by strings that also start earlier.
 
-    documents: _rid, doc_id, text, bucketed into `parts` by _rid; runs: of repeated_anchors.
+    documents: _rid, doc_id, text, bucketed into `parts` by _rid; runs: of repeated_anchors. A run's
+    bytes, its context, go to the partition of its anchor, one for each task and content. Around a
+    hot anchor contexts may differ at every occurrence, so there each window goes alone, as its
+    128-bit digest, to the partition of the digest: no partition gathers what follows a hot passage.
+    The hot anchors are broadcast; there are at most as many as anchors over the threshold.
     """
+    common = np.frombuffer(b"".join(r["start"] for r in runs.where("_group = -1").select("start").collect()), "<u8")
+    shared = documents.sparkSession.sparkContext.broadcast(np.sort(common))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[bytes, tuple[int, int, int]] = {}
@@ -290,28 +339,38 @@ def repeats(documents: DataFrame, runs: DataFrame, length: int, parts: int) -> D
             contexts = list(best)
             doc, rid, start = (np.array(x, np.int64) for x in zip(*best.values(), strict=True)) if best else [np.zeros(0, np.int64)] * 3
             hashes = np.array([anchor[x] for x in contexts], np.uint64)
-            columns = {"doc": doc, "rid": rid, "start": start, "count": np.array([len(x) - length + 1 for x in contexts], np.int64), "hash": hashes}
+            columns = {"doc": doc, "rid": rid, "start": start, "count": np.array([max(0, len(x) - length + 1) for x in contexts], np.int64), "hash": hashes}
             known = dict(zip(("rid", "start", "count"), (np.array(x, np.int64) for x in zip(*later, strict=True)), strict=True)) if later else {"rid": np.zeros(0, np.int64)}
             for x in (sent(known["rid"] % parts, True, known), sent((hashes % np.uint64(parts)).astype(np.int64), False, columns, contexts)):
                 if x is not None:
                     yield x
 
+        def place(content: bytes, key: int, at: tuple[int, int, int], count: int) -> None:
+            nonlocal size
+            known = best.get(content)
+            if known is None:
+                best[content], anchor[content] = at, key
+                size += len(content) + 200
+            elif known <= at:
+                later.append((at[1], at[2], count))
+            else:
+                best[content] = at
+                later.append((known[1], known[2], count))
+
+        hot = shared.value
         for batch in batches:
-            for doc_id, rid, text, starts, counts, offsets in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "_rid", "text", "start", "count", "offset")), strict=True):
+            for doc_id, rid, text, *packed in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "_rid", "text", "start", "count", "offset")), strict=True):
                 data, doc = (text or "").encode(), FIRST_ID if doc_id is None else doc_id
-                items = zip(*(np.frombuffer(b"".join(x), KINDS[k]).tolist() for k, x in (("start", starts), ("count", counts), ("offset", offsets))), strict=True)
-                for start, count, offset in items:
-                    context = data[start : start + count + length - 1]
-                    at, known = (doc, rid, start), best.get(context)
-                    if known is None:
-                        best[context] = at
-                        anchor[context] = xxhash.xxh3_64_intdigest(context[offset : offset + GRAM])
-                        size += len(context) + 200
-                    elif known <= at:
-                        later.append((rid, start, count))
+                starts, counts, offsets = (np.frombuffer(x, KINDS[k]).astype(np.int64) for k, x in zip(("start", "count", "offset"), packed, strict=True))
+                keys = gram_hashes(np.frombuffer(data, np.uint8))[starts + offsets]
+                spread = np.isin(keys, hot) if len(hot) else np.zeros(len(keys), bool)
+                for start, count, key, single in zip(starts.tolist(), counts.tolist(), keys.tolist(), spread.tolist(), strict=True):
+                    if single:
+                        for k in range(start, start + count):
+                            digest = xxhash.xxh3_128_digest(data[k : k + length])
+                            place(digest, int.from_bytes(digest[:8], "little"), (doc, rid, k), 1)
                     else:
-                        best[context] = at
-                        later.append((known[1], known[2], count))
+                        place(data[start : start + count + length - 1], key, (doc, rid, start), count)
                 if size + 100 * len(later) >= CONTEXT_BYTES_HELD:
                     yield from share()
                     best, anchor, later, size = {}, {}, [], 0
@@ -321,7 +380,8 @@ def repeats(documents: DataFrame, runs: DataFrame, length: int, parts: int) -> D
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settled, open_, text = received(batches)
         rids, starts, ends = [settled["rid"]], [settled["start"]], [settled["start"].astype(np.int64) + settled["count"] + length - 1]
-        sizes = open_["count"].astype(np.int64) + length - 1
+        counts = open_["count"].astype(np.int64)
+        sizes = np.where(counts, counts + length - 1, DIGEST)
         begin = np.cumsum(sizes) - sizes
         order = np.lexsort((open_["start"], open_["rid"], open_["doc"]))
         seen: set[bytes] = set()
@@ -334,43 +394,46 @@ def repeats(documents: DataFrame, runs: DataFrame, length: int, parts: int) -> D
                 seen.add(context)
         rids.append(open_["rid"][repeated])
         starts.append(open_["start"][repeated])
-        ends.append(open_["start"][repeated].astype(np.int64) + sizes[repeated])
+        ends.append(open_["start"][repeated].astype(np.int64) + np.maximum(counts[repeated], 1) + length - 1)
         # Different contexts of one anchor: their windows are sorted, the first of equal ones stays.
-        place = order[~repeated[order]]
-        _, inverse, times = np.unique(open_["hash"][place], return_inverse=True, return_counts=True)
-        place = place[times[inverse] > 1]
-        if len(place):
-            count = open_["count"][place].astype(np.int64)
-            owner = np.repeat(np.arange(len(place)), count)
-            inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            rank = suffix_ranks(np.frombuffer(text, np.uint8), begin[place][owner] + inner, length)
+        place = order[~repeated[order] & (counts[order] > 0)]
+        place = place[np.argsort(open_["hash"][place], kind="stable")]
+        _, first, times = np.unique(open_["hash"][place], return_index=True, return_counts=True)
+        weight = np.add.reduceat(sizes[place], first) if len(place) else np.zeros(0, np.int64)
+        for part in batched(first[times > 1], times[times > 1], weight[times > 1], SORTED_BYTES):
+            members = place[part]
+            members = members[np.lexsort((open_["start"][members], open_["rid"][members], open_["doc"][members]))]
+            own = counts[members]
+            joined = np.frombuffer(b"".join([text[a : a + n] for a, n in zip(begin[members].tolist(), sizes[members].tolist(), strict=True)]), np.uint8)
+            owner = np.repeat(np.arange(len(members)), own)
+            inner = np.arange(len(owner)) - np.repeat(np.cumsum(own) - own, own)
+            rank = suffix_ranks(joined, (np.cumsum(sizes[members]) - sizes[members])[owner] + inner, length)
             sort = np.argsort(rank, kind="stable")  # keeps the order of documents and starts within a rank
             second = np.zeros(len(rank), bool)
             second[sort[1:]] = rank[sort][1:] == rank[sort][:-1]
             owner, inner = owner[second], inner[second]
             new = np.ones(len(owner), bool)
             new[1:] = (owner[1:] != owner[:-1]) | (inner[1:] != inner[:-1] + 1)
-            first = np.nonzero(new)[0]
-            last = np.append(first[1:], len(owner)) - 1
-            if len(first):
-                whose = place[owner[first]]
+            head = np.nonzero(new)[0]
+            if len(head):
+                whose = members[owner[head]]
                 rids.append(open_["rid"][whose])
-                starts.append(open_["start"][whose] + inner[first])
-                ends.append(open_["start"][whose] + inner[last] + length)
+                starts.append(open_["start"][whose] + inner[head])
+                ends.append(open_["start"][whose] + inner[np.append(head[1:], len(owner)) - 1] + length)
         rid = np.concatenate(rids)
         if len(rid):
-            yield by_document(rid, {"begin": np.concatenate(starts).astype("<u4"), "end": np.concatenate(ends).astype("<u4")})
+            yield by_group(rid, {"begin": np.concatenate(starts).astype("<u4"), "end": np.concatenate(ends).astype("<u4")})
 
-    gathered = runs.repartition(parts, "_rid").groupBy("_rid").agg(*(F.collect_list(k).alias(k) for k in ("start", "count", "offset")))
+    gathered = by_document(runs.where("_group >= 0"), {k: KINDS[k] for k in ("start", "count", "offset")}, parts)
     joined = documents.select("_rid", F.col("doc_id").cast("long"), "text").join(gathered.hint("shuffle_hash"), "_rid")
-    return joined.mapInArrow(cut, SENT).repartition(parts, "part").mapInArrow(judge, "_rid long, begin binary, end binary")
+    return joined.mapInArrow(cut, SENT).repartitionById(parts, "part").mapInArrow(judge, "_group long, rid binary, begin binary, end binary")
 
 
-def merged(begins: list[bytes] | None, ends: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+def merged(begins: bytes | None, ends: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of overlapping or touching runs."""
-    if begins is None or not len(begins):
+    if not begins:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    begin, end = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in (begins, ends))
+    begin, end = (np.frombuffer(x, "<u4").astype(np.int64) for x in (begins, ends))
     order = np.argsort(begin, kind="stable")
     begin, reach = begin[order], np.maximum.accumulate(end[order])
     new = np.ones(len(begin), bool)
@@ -378,38 +441,50 @@ def merged(begins: list[bytes] | None, ends: list[bytes] | None) -> tuple[np.nda
     return begin[new], reach[np.append(np.nonzero(new)[0][1:] - 1, len(begin) - 1)]
 
 
-def without_repeats(documents: DataFrame, length: int = 100) -> DataFrame:
+def without_repeats(documents: DataFrame, length: int = 100, hot: int = 1000) -> DataFrame:
     """documents and a struct _kept: bytes that stay, n_bytes, n_removed, n_spans.
 
     Texts are whole UTF-8 bytes, null as empty. A byte goes if a string of `length` bytes that covers
     it also starts earlier in the same document or anywhere in an earlier one; documents are ordered
     by doc_id, null first, rows of one id by their place in the table. An empty table gives an empty one.
+    Anchors that occur `hot` times or more, or in more than a 100,000th part of all places, are
+    spread by window.
     """
     spark = documents.sparkSession
     ship(spark)
     parts = partitions_for(documents)
     rows = stored(documents, parts)
-    runs = repeated_anchors(rows, length, parts)
-    spans = repeats(rows, runs, length, parts).repartition(parts, "_rid").groupBy("_rid").agg(F.collect_list("begin").alias("_begin"), F.collect_list("end").alias("_end"))
-
-    def keep(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    # Of equal texts all but the first go whole, so only the first are searched.
+    order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)), "_rid")
+    firsts = rows.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256)).agg(F.min(order)["_rid"].alias("_rid"))
+    leads = staged(firsts.select("_rid"), "suffix-firsts").withColumn("_first", F.lit(True))
+    searched = rows.join(leads.hint("shuffle_hash"), "_rid", "left_semi")
+    threshold = max(hot, input_bytes(documents) // (length // 7 * 100_000))
+    runs = staged(repeated_anchors(searched, length, parts, threshold), "suffix-runs")
+    spans = by_document(repeats(searched, runs, length, parts), {"begin": "<u4", "end": "<u4"}, parts)
+    spans = spans.select("_rid", F.col("begin").alias("_begin"), F.col("end").alias("_end"))
+
+    def keep(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, begins, ends in zip(*batch, strict=True):
+            for text, first, begins, ends in zip(*batch, strict=True):
                 data = (text or "").encode()
-                begin, end = merged(begins, ends)
+                begin, end = merged(begins, ends) if first else (np.zeros(1, np.int64), np.full(1, len(data)))
+                if not first and len(data) < length:
+                    begin = end = end[:0]
                 kept = data if not len(begin) else b"".join(data[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(data)], strict=True))
                 out.append((kept, len(data), len(data) - len(kept), len(begin)))
             yield pd.DataFrame(out, columns=["bytes", "n_bytes", "n_removed", "n_spans"])
 
-    keep.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
+    keep.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
     kept = F.pandas_udf(keep, "bytes binary, n_bytes long, n_removed long, n_spans long")
-    joined = rows.join(spans.hint("shuffle_hash"), "_rid", "left")
-    return joined.withColumn("_kept", kept("text", "_begin", "_end")).drop("_rid", "_begin", "_end")
+    judged = rows.join(leads.hint("shuffle_hash"), "_rid", "left").join(spans.hint("shuffle_hash"), "_rid", "left")
+    first = F.coalesce("_first", F.lit(False))
+    return judged.withColumn("_kept", kept("text", first, "_begin", "_end")).drop("_rid", "_first", "_begin", "_end")
 
 
-def digests(documents: DataFrame) -> DataFrame:
-    done = without_repeats(documents.select("doc_id", "text"))
+def digests(documents: DataFrame, hot: int = 1000) -> DataFrame:
+    done = without_repeats(documents.select("doc_id", "text"), hot=hot)
     return done.select("doc_id", "_kept.n_bytes", "_kept.n_removed", "_kept.n_spans", F.sha2("_kept.bytes", 256).alias("kept_sha256"))
 
 

@@ -32,11 +32,11 @@ def test_anchors_cover_every_window_and_agree():
                 assert of.setdefault(texts[k][w : w + 100], (s + o - w, h)) == (s + o - w, h)
 
 
-def run(spark, data, clash=True):
+def run(spark, data, clash=True, **options):
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
     if clash:
         df = df.selectExpr("*", "1 as start", "'x' as part", "2 as begin", "3 as rid", "4 as n_bytes")
-    return sorted(map(tuple, suffixes.digests(df).collect()), key=lambda x: (x[0] is not None, x[0]))
+    return sorted(map(tuple, suffixes.digests(df, **options).collect()), key=lambda x: (x[0] is not None, x[0]))
 
 
 def test_against_definition(spark):
@@ -48,6 +48,8 @@ def test_against_definition(spark):
     data.sort(key=lambda x: (x[0] is not None, x[0]))
     want = [(i, *x) for (i, _), x in zip(data, suffixes.brute_force([(t or "").encode() for _, t in data]), strict=True)]
     assert run(spark, data) == want
+    for hot in (2, 5):
+        assert run(spark, data, hot=hot) == want
     assert sum(x[2] for x in want) > 5000
 
 
