@@ -169,7 +169,8 @@ def near_links(nodes: DataFrame, radius: int = 3, leaf: int = 8192, sample: int
 
 
 def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """doc_id, fp (signed), component_id of every row of documents.
+    """doc_id, fp (signed), component_id of every row of documents, and `component`, a number of the
+    component itself.
 
     component_id is the smallest doc_id reachable over links of at most radius differing bits, the
     row's own included. Texts without words, null ones too, have fingerprint 0 and link like any
@@ -177,15 +178,20 @@ def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 3) -> Da
     names a component unless all of its component's ids are null.
     """
     ship(documents.sparkSession)
-    marked = staged(documents.select("doc_id", fingerprints(F.col("text"), width).alias("fp")), "simhash-fingerprints")
+    marked = staged(documents.select("doc_id", fingerprints(F.col("text"), width).alias("fp"), *(c.alias(k) for k, c in row_keys().items())), "simhash-fingerprints")
     nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     keyed = nodes.select("fp", F.col("fp").alias("node"))
     edges = near_links(keyed, radius)
     member = components(edges)
     resolved = nodes.join(member, nodes.fp == member.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = resolved.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = resolved.join(smallest, "component").select(F.col("fp").alias("node_fp"), "component_id")
-    return marked.join(named, marked.fp == named.node_fp).select("doc_id", "fp", "component_id")
+    named = resolved.join(smallest, "component").select(F.col("fp").alias("node_fp"), "component", "component_id")
+    return marked.join(named, marked.fp == named.node_fp).drop("node_fp")
+
+
+def row_keys() -> dict[str, Column]:
+    """96 bits that stand for a row's id and text."""
+    return {"_key": F.xxhash64("doc_id", "text"), "_crc": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))}
 
 
 def digests(documents: DataFrame) -> DataFrame:
@@ -193,10 +199,10 @@ def digests(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """documents without all but one row of each near-duplicate component: that of the smallest
-    doc_id, by smallest text among rows that share it. Rows with a null doc_id stay only where their
-    component has no other."""
-    found = near_duplicates(documents).groupBy("doc_id", "component_id").agg(F.lit(1).alias("n"))
-    leaders = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("leader_id"))
-    chosen = documents.join(leaders, documents.doc_id.eqNullSafe(leaders.leader_id), "left_semi")
-    return chosen.dropDuplicates(["doc_id"])
+    """documents without all but one row of each near-duplicate component: the one of the smallest
+    doc_id (null after all others), and of rows that share it the one of the smallest hash of its
+    text. Of rows equal in both one stays."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "_crc")
+    leaders = near_duplicates(documents).groupBy("component").agg(F.min(order).alias("leader")).select("leader._key", "leader._crc")
+    keyed = documents.withColumns(row_keys())
+    return keyed.join(leaders, ["_key", "_crc"], "left_semi").dropDuplicates(["_key", "_crc"]).drop("_key", "_crc")

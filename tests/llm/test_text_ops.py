@@ -186,6 +186,20 @@ def test_packing_repeats_and_null_ids(spark):
     assert Counter(r.doc_id for r in got if r.start == 0) == {1: 2, None: 1, 2: 1}
 
 
+def test_word_encoder_equals_the_tokenizer():
+    with open(P.path("byte_bpe_50k.json"), "rb") as file:
+        definition = file.read()
+    own = packing.tokenizer(definition)
+    random = np.random.default_rng(6)
+    parts = ["the", "don't", "We'll", "x's", "''s", "1,234.5", "É'tre", "naïve—", "日本語", "\n", "a\nb", "a\n\nb", "\t", "", "", "!!", "###", "'", "-x", "\u00a0y", "\u0085z", "\x1cq", "Ünï", "<|endoftext|>", "ǅ", "²³", "½x", "e\u0301"]
+    batch = [" ".join(random.choice(parts, random.integers(0, 30))) for _ in range(800)] + [t or "" for _, t in ODD]
+    want = [np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in batch]
+    for pattern in (None, P.PATTERN):
+        coder = packing.WordEncoder(definition, pattern)
+        assert coder.encode(pa.array(batch)) == want and coder.encode(pa.array([*batch[::-1], None]).slice(3)) == [*want[::-1], b""][3:]
+        assert coder.encode(pa.array([], pa.string())) == []
+
+
 def test_hilbert_curve_is_continuous():
     bits = 3
     points = np.array([(a, b) for a in range(8) for b in range(8)])
