@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.common import SPACE
+from quern.llm.common import SPACE, staged
 
 SYMBOLS = "[#*$%&|<>]"
 #: Letters that a word may have to count as a common one: function words are short.
@@ -72,26 +72,26 @@ def classes(text: Column, measured: Column) -> Column:
     return F.array(upper, digits, measured["n_symbols"], F.char_length(text) - measured["word_chars"], marks, letters - upper - digits - marks)
 
 
-def normal(text: Column) -> Column:
-    """Lower-cased runs of letters, each between blanks of its own."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", "  "), F.lit(" "))
+def runs_of(letters: str) -> str:
+    """A pattern of whole runs of letters that match `letters`."""
+    return rf"(?<!\p{{L}})(?:{letters})(?!\p{{L}})"
 
 
 def references(documents: DataFrame) -> list[dict]:
     """For each language, and pooled over all: the shares of character classes and of its commonest
     short words, over all documents. The result is bounded: LANGUAGES rows of COMMON_WORDS words."""
     text = F.coalesce("text", F.lit(""))
-    counted = documents.select("lang", text.alias("text")).select("lang", "text", F.struct(F.size(words_of(F.col("text"))).cast("long").alias("n_words"), F.char_length(F.regexp_replace("text", f"[{SPACE}]+", "")).cast("long").alias("word_chars"), F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols")).alias("m"))
+    sizes = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols")))
+    counted = documents.select("lang", text.alias("text"), sizes.alias("m"))
     shapes = counted.select("lang", F.col("m.n_words").alias("n_words"), classes(F.col("text"), F.col("m")).alias("classes"))
     sums = [F.sum(F.get("classes", F.lit(k))).alias(x) for k, x in enumerate(CLASSES)]
-    totals = shapes.groupBy("lang").agg(F.sum("n_words").alias("n_words"), *sums)
+    totals = staged(shapes.groupBy("lang").agg(F.sum("n_words").alias("n_words"), *sums), "quality-totals")
     large = totals.where((F.col("n_words") >= LANGUAGE_WORDS) & F.col("lang").isNotNull()).orderBy(F.desc("n_words"), "lang").limit(LANGUAGES)
     pooled = totals.agg(F.sum("n_words").alias("n_words"), *(F.sum(x).alias(x) for x in CLASSES)).select(F.lit(POOLED).alias("lang"), "n_words", *CLASSES)
-    rows = {(r["lang"], r is not None): r.asDict() for r in large.collect()}
-    known = {lang: r for (lang, _), r in rows.items() if lang != POOLED}
+    known = {r["lang"]: r.asDict() for r in large.where(F.col("lang") != POOLED).collect()}
     known[POOLED] = pooled.first().asDict()
 
-    found = documents.select("lang", F.explode(F.split(F.trim(normal(text)), " +")).alias("word")).where(F.char_length("word").between(1, COMMON_LETTERS))
+    found = documents.select("lang", F.explode(F.regexp_extract_all(F.lower(text), F.lit(runs_of(rf"\p{{L}}{{1,{COMMON_LETTERS}}}")), F.lit(0))).alias("word"))
     counts = found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     alike = F.when(F.col("lang").isin([x for x in known if x != POOLED]), F.array("lang", F.lit(POOLED))).otherwise(F.array(F.lit(POOLED)))
     keyed = counts.select(F.explode(alike).alias("lang"), "word", "n").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -103,7 +103,7 @@ def references(documents: DataFrame) -> list[dict]:
         mine = known[r["lang"]]
         mine["words"].append(r["word"])
         mine["shares"].append(r["n"] / max(1, mine["n_words"]))
-    return [{k: r[k] for k in ("lang", "words", "shares", "classes")} for r in known.values()]
+    return [{k: r[k] for k in ("lang", "words", "shares", "classes")} | {"pattern": runs_of("|".join(r["words"]) or "(?!)")} for r in known.values()]
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -134,23 +134,24 @@ def judged(documents: DataFrame, class_limit: float = 0.30, word_limit: float =
     references are broadcast; their size is bounded.
     """
     spark = documents.sparkSession
-    known = spark.createDataFrame([tuple(r.values()) for r in references(documents)], "_lang string, _words array<string>, _shares array<double>, _classes array<double>")
+    known = spark.createDataFrame([tuple(r.values()) for r in references(documents)], "_lang string, _words array<string>, _shares array<double>, _classes array<double>, _pattern string")
     pooled = known.where(F.col("_lang") == POOLED).first()
     own = F.broadcast(known.where(F.col("_lang") != POOLED))
     text = F.coalesce("text", F.lit(""))
     joined = documents.join(own, F.col("lang") == F.col("_lang"), "left").withColumn("_m", measures(F.col("text")))
     parts = {x: F.coalesce(x, F.array(*map(F.lit, pooled[x])).cast(kind)) for x, kind in (("_words", "array<string>"), ("_shares", "array<double>"), ("_classes", "array<double>"))}
+    pattern = F.coalesce("_pattern", F.lit(pooled["_pattern"]))
     m = F.col("_m")
     n_chars = F.char_length(text)
-    shape = let(classes(text, m), lambda c: distance(F.transform(c, lambda x: x / n_chars), parts["_classes"]))
-    found = lambda t: F.transform(parts["_words"], lambda w: (F.octet_length(t) - F.octet_length(F.replace(t, F.concat(F.lit(" "), w, F.lit(" "))))) / (F.octet_length(w) + 2) / m["n_words"])
-    spoken = let(normal(text), lambda t: distance(found(t), parts["_shares"]))
+    shape = let(F.transform(classes(text, m), lambda x: x / n_chars), lambda p: distance(p, parts["_classes"]))
+    share = lambda found: F.transform(parts["_words"], lambda w: (F.size(found) - F.size(F.array_remove(found, w))) / m["n_words"])
+    spoken = let(let(F.regexp_extract_all(F.lower(text), pattern, F.lit(0)), share), lambda p: distance(p, parts["_shares"]))
     bad = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     with_distances = joined.withColumns({"_shape": F.when(n_chars >= class_chars, shape), "_spoken": F.when(m["n_words"] >= common_words, spoken)})
     far = F.coalesce(F.col("_shape") > class_limit, F.lit(False)) | F.coalesce(F.col("_spoken") > word_limit, F.lit(False))
     fields = [m[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     quality = F.struct(*fields, bad.alias("base_failed"), F.col("_shape").alias("class_distance"), F.col("_spoken").alias("word_distance"), (~bad & ~far).alias("kept"))
-    return with_distances.withColumn("_quality", quality).drop("_lang", "_words", "_shares", "_classes", "_m", "_shape", "_spoken")
+    return with_distances.withColumn("_quality", quality).drop("_lang", "_words", "_shares", "_classes", "_pattern", "_m", "_shape", "_spoken")
 
 
 def verdicts(documents: DataFrame) -> DataFrame:
