@@ -31,11 +31,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one only where none is configured."""
+    """The checkpoint folder of the session; a temporary one only in local mode where none is set."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if not current.isDefined():
         configured = context.getConf().get("spark.checkpoint.dir", None)
+        if not configured and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quern-checkpoints-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get()
