@@ -3,25 +3,43 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quern.llm.common import ship, staged, texts
+from quern.llm.common import ship, staged
 
 DIMENSIONS = 4
 CURVE_BITS = 15
-#: Words kept in a worker's cache of encoded words.
-CACHED = 400_000
+#: Texts encoded together.
+TEXTS = 1000
+#: Words, and pieces of words, that a worker keeps.
+CACHED_WORDS, CACHED_PIECES = 1_200_000, 500_000
+#: The first character beyond the Latin blocks.
+LATIN = "\u0250"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: itself where it can be printed,
+    else the next free one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(spare)) for b in range(256)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 @lru_cache(maxsize=2)
 def tokenizer(definition: bytes) -> Tokenizer:
     loaded = Tokenizer.from_buffer(definition)
@@ -32,42 +50,75 @@ def tokenizer(definition: bytes) -> Tokenizer:
 
 
 class WordEncoder:
-    """Encodes texts with a byte-level BPE tokenizer, each word once.
+    """Encodes texts with a byte-level BPE tokenizer, each word and each piece of a word once.
 
     Its pre-tokenizer lets white space stand only at the start of a piece, and in a run of white
     space the last blank goes with the word that follows. So a blank between two characters that are
     not white space always starts a new piece, and a text is the concatenation of its words, each
     with the blank before it. A text that holds white space beside a blank is encoded as it stands.
+    With the pre-tokenizer's pattern, new words of Latin letters (on which all Unicode versions agree)
+    are made of the pieces that it finds, and only the merges of a new piece are left to the library.
     """
 
-    def __init__(self, definition: bytes):
+    def __init__(self, definition: bytes, pattern: str | None = None):
         self.tokenizer = tokenizer(definition)
+        self.model = self.tokenizer.model
+        self.find = regex.compile(pattern).findall if pattern else None
         self.words: dict[str, bytes | None] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def whole(self, batch: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+
+    def piece(self, text: str) -> bytes:
+        return array("I", [x.id for x in self.model.tokenize(text.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        """Encode words (with the blank before them); None marks those that are not whole words."""
+        known, pieces, find, other = self.words, self.pieces, self.find, []
+        if len(pieces) > CACHED_PIECES:
+            pieces.clear()
+        for w in new:
+            if not w or w[0].isspace() or w[-1].isspace():
+                known[w] = None
+            elif find and (w.isascii() or max(w) < LATIN):
+                parts = (" " + w,) if w.isalpha() else (" " + w[:-1], w[-1]) if w[-1] in ".,;:!?" and w[:-1].isalpha() else find(" " + w)
+                coded = b""
+                for p in parts:
+                    ids = pieces.get(p)
+                    if ids is None:
+                        ids = pieces[p] = self.piece(p)
+                    coded += ids
+                known[w] = coded
+            else:
+                other.append(w)
+        for k in range(0, len(other), 4096):
+            some = other[k : k + 4096]
+            known.update(zip(some, self.whole([" " + w for w in some]), strict=True))
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        split = [x.split(" ") for x in batch]
-        if len(self.words) > CACHED:
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Packed ids of each text of an Arrow column (null as empty). Words are split, numbered and
+        put together by Arrow; Python sees each word once."""
+        filled = pc.fill_null(column.cast(pa.large_string()), "")
+        split = pc.split_pattern(filled, " ")
+        starts = split.offsets.to_numpy()
+        numbered = split.flatten().dictionary_encode()
+        names, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype(np.int64)
+        if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        known = self.words
-        new = list({w for words in split for w in words[1:]} - known.keys())
-        plain = [w for w in new if w and w.strip() == w]
-        known.update(dict.fromkeys(new))
-        for k in range(0, len(plain), 4096):
-            some = plain[k : k + 4096]
-            known.update(zip(some, self.whole([" " + w for w in some]), strict=True))
-        firsts = self.whole([words[0] for words in split])
-        out, odd = [], []
-        for k, words in enumerate(split):
-            coded = list(map(known.__getitem__, words[1:]))
-            if coded and (not words[0] or words[0][-1:].isspace() or None in coded):
-                odd.append(k)
-                out.append(b"")
-            else:
-                out.append(firsts[k] + b"".join(coded))
-        for k, ids in zip(odd, self.whole([batch[k] for k in odd]), strict=True):
+        self.learn([w for w in names if w not in self.words])
+        coded = list(map(self.words.__getitem__, names))
+        firsts = [names[k] for k in at[starts[:-1]]]
+        many = np.diff(starts) > 1
+        broken = np.fromiter((x is None for x in coded), bool, len(coded))[at]
+        broken[starts[:-1]] = many & np.fromiter((not w or w[-1].isspace() for w in firsts), bool, len(firsts))
+        odd = np.nonzero(np.logical_or.reduceat(broken, starts[:-1]))[0] if len(firsts) else []
+        at[starts[:-1]] = len(coded) + np.arange(len(firsts))
+        taken = pa.array([x or b"" for x in coded] + self.whole(firsts), pa.large_binary()).take(pa.array(at))
+        bounds = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1][starts]
+        data = memoryview(taken.buffers()[2])
+        out = [bytes(data[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for k, ids in zip(odd, self.whole([filled[k].as_py() for k in odd]), strict=True):
             out[k] = ids
         return out
 
@@ -113,7 +164,7 @@ def curve_keys(bags: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
     return hilbert_key(np.clip(scaled, 0, (1 << CURVE_BITS) - 1).astype(np.int64))
 
 
-def tokenized(documents: DataFrame, definition: bytes, end_id: int) -> DataFrame:
+def tokenized(documents: DataFrame, definition: bytes, end_id: int, pattern: str | None) -> DataFrame:
     """doc_id, key on the curve and packed ids (end_id last) of every row."""
     ship(documents.sparkSession)
     size = max(tokenizer(definition).get_vocab_size(), end_id + 1)
@@ -121,11 +172,11 @@ def tokenized(documents: DataFrame, definition: bytes, end_id: int) -> DataFrame
     shared = documents.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, signs = WordEncoder(shared.value), directions(size)
+        coder, signs = WordEncoder(shared.value, pattern), directions(size)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                bags = [np.append(np.frombuffer(x, "<u4"), end_id).astype(kind) for x in coder.encode(texts(batch.column("text")))]
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                bags = [np.append(np.frombuffer(x, "<u4"), end_id).astype(kind) for x in coder.encode(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(curve_keys(bags, signs)), pa.array([x.tobytes() for x in bags], pa.binary())], names=["doc_id", "key", "ids"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key long, ids binary")
@@ -173,17 +224,18 @@ class Packer:
         self.open, self.used = [], 0
 
 
-def pack(documents: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1) -> DataFrame:
+def pack(documents: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, pattern: str | None = None) -> DataFrame:
     """One row for each piece of a document, in sequences of `size` tokens along the curve.
 
     Every row of documents counts: null and empty texts are a document of end_id alone, repeated rows
     are packed each, null ids are carried. Documents are range-sorted by curve key and then id, so
     copies under one key spread over tasks. A task streams through its range and holds one sequence.
+    pattern: of the tokenizer's pre-tokenizer, if known; it only saves time.
     sequence_id is unique over the result: the task's number above 40 bits, a count below.
     """
     with open(tokenizer_path, "rb") as file:
         definition = file.read()
-    coded = staged(tokenized(documents, definition, end_id), "packing-ids")
+    coded = staged(tokenized(documents, definition, end_id, pattern), "packing-ids")
     kind = "<u2" if max(tokenizer(definition).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

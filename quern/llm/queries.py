@@ -31,7 +31,7 @@ def op3_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), pattern=public_tokenizers.PATTERN)
 
 
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.verdicts(table(spark, folder, "documents"))
+    return quality.verdicts(table(spark, folder, "documents")).drop("class_distance", "word_distance")
 
 
 def op7_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,6 +96,41 @@ ORACLE_SQL: dict[str, str] = {
             sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
             CAST(sum(chars) AS BIGINT) AS formatted_chars
         FROM sized GROUP BY conv_id""",
+    "op6_quality_rules": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, lang FROM documents),
+        cut AS (
+            SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+                list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
+        ), m AS (
+            SELECT r, doc_id, text, lang, words, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+                length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS upper, length(regexp_replace(text, '[^\p{{Nd}}]', '', 'g')) AS digits,
+                length(regexp_replace(text, '[^\p{{P}}\p{{S}}]', '', 'g')) - length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS marks FROM cut
+        ), placed AS (SELECT r, words, unnest(range(1, n_words - 1)) AS i FROM m WHERE n_words > 3),
+        grams AS (SELECT r, i, count(*) OVER (PARTITION BY r, words[i], words[i + 1], words[i + 2]) AS n FROM placed),
+        covered AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM grams, (VALUES (0), (1), (2)) AS t(k) WHERE n > 1 GROUP BY r),
+        own AS (SELECT lang FROM m WHERE lang IS NOT NULL AND lang <> '*' GROUP BY lang HAVING sum(n_words) >= {quality.LANGUAGE_WORDS}),
+        keyed AS (SELECT m.*, length(text) AS chars, coalesce(own.lang, '*') AS ref FROM m LEFT JOIN own ON m.lang = own.lang),
+        seen AS (SELECT * FROM keyed WHERE ref <> '*' UNION ALL SELECT * REPLACE ('*' AS ref) FROM keyed),
+        totals AS (
+            SELECT ref, sum(n_words) AS n, sum(upper) / sum(chars) AS u, sum(digits) / sum(chars) AS g, sum(n_symbols) / sum(chars) AS y,
+                sum(chars - word_chars) / sum(chars) AS s, sum(marks) / sum(chars) AS p, sum(word_chars - n_symbols - upper - digits - marks) / sum(chars) AS o FROM seen GROUP BY ref
+        ), spoken AS (SELECT r, ref, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS word FROM seen),
+        short AS (SELECT ref, word, count(*) AS n FROM spoken WHERE length(word) <= {quality.COMMON_LETTERS} GROUP BY ref, word),
+        top AS (SELECT ref, word, short.n / totals.n AS q FROM short JOIN totals USING (ref) QUALIFY row_number() OVER (PARTITION BY ref ORDER BY short.n DESC, word) <= {quality.COMMON_WORDS}),
+        mine AS (SELECT r, ref, word, count(*) AS n FROM spoken JOIN keyed USING (r, ref) GROUP BY r, ref, word),
+        pairs AS (SELECT k.r, coalesce(mine.n, 0) / k.n_words AS p, top.q FROM keyed k JOIN top USING (ref) LEFT JOIN mine ON mine.r = k.r AND mine.word = top.word WHERE k.n_words >= 200
+            UNION ALL SELECT r, greatest(0, 1 - sum(p)), greatest(0, 1 - sum(q)) FROM (SELECT k.r, coalesce(mine.n, 0) / k.n_words AS p, top.q FROM keyed k JOIN top USING (ref) LEFT JOIN mine ON mine.r = k.r AND mine.word = top.word WHERE k.n_words >= 200) GROUP BY r),
+        shaped AS (SELECT r, unnest([upper, digits, n_symbols, chars - word_chars, marks, word_chars - n_symbols - upper - digits - marks]) / chars AS p, unnest([u, g, y, s, t.p, o]) AS q FROM keyed JOIN totals t USING (ref) WHERE chars >= 200),
+        far AS (
+            SELECT r FROM (SELECT r, p, q, 0.36 AS most FROM pairs UNION ALL SELECT r, p, q, 0.30 FROM shaped) GROUP BY r, most
+            HAVING sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2))) > most
+        ), judged AS (
+            SELECT m.*, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM m LEFT JOIN covered USING (r)
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND r NOT IN (SELECT r FROM far) AS kept
+        FROM judged""",
     "op10_line_dedup": f"""
         WITH split AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         numbered AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split),

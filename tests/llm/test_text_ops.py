@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -109,7 +110,9 @@ def test_simhash(spark):
     assert got == sorted([(i, f"{fp:016x}", of[fp]) for i, fp in fps], key=str)
     assert simhash.digests(rows(spark, [])).count() == 0
     kept = simhash.keep_one(rows(spark, data, True)).collect()
-    assert sorted(x.doc_id for x in kept) == sorted(set(of.values()))
+    assert {x.doc_id for x in kept} == set(of.values())
+    both = [(6, "one text of a repeated id"), (6, "and quite another one with words of its own"), (6, "one text of a repeated id"), (None, "nobody's own text"), (None, None)]
+    assert sorted((x.doc_id or 0, x.text or "") for x in simhash.keep_one(rows(spark, both)).collect()) == sorted({(i or 0, t or "") for i, t in both})
 
 
 def test_near_links_of_clustered_fingerprints(spark):
