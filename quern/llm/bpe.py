@@ -10,12 +10,16 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.common import ship
 
+#: Rows worked on together in a task.
+ROWS = 256
 #: Texts longer than this many characters are encoded in parts.
 PART = 1 << 16
 #: Between a character that no definition calls white space and one that all do, every match of the
@@ -61,33 +65,45 @@ class ByteBpe:
         self.pattern = pattern
         self.ranks = spark.sparkContext.broadcast(Path(rank_path).read_bytes())
 
-    def _udf(self, kind: str, work: Callable[[tiktoken.Encoding, object], object]) -> Callable[[Column], Column]:
+    def _map(self, df: DataFrame, of: str, to: str, work: Callable[[tiktoken.Encoding, object], bytes]) -> DataFrame:
+        """df and a binary column `to` of the column `of`, made a few rows at a time."""
         ranks, pattern = self.ranks, self.pattern
 
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             coder = encoding(ranks.value, pattern)
-            for batch in batches:
-                yield pd.Series([work(coder, x) for x in batch], dtype=object if kind == "binary" else "int64")
+            for whole in batches:
+                for k in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(k, ROWS)
+                    made = pa.array([work(coder, x.as_py()) for x in batch.column(of)], pa.binary())
+                    kept = [n for n in batch.schema.names if n != "text"]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), made], names=[*kept, to])
 
-        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        return F.pandas_udf(run, kind)
+        kept = [f for f in df.schema.fields if f.name != "text"]
+        return df.mapInArrow(run, T.StructType([*kept, T.StructField(to, T.BinaryType())]))
 
-    def encode(self, text: Column) -> Column:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return self._udf("binary", lambda coder, x: np.array(encode_text(coder, x), dtype="<u4").tobytes())(text)
+    def encode(self, documents: DataFrame) -> DataFrame:
+        """(doc_id, ids): ids as little-endian unsigned 32-bit integers."""
+        return self._map(documents.select("doc_id", "text"), "text", "ids", lambda coder, x: np.array(encode_text(coder, x), dtype="<u4").tobytes())
 
-    def decode(self, ids: Column) -> Column:
-        """The raw bytes of packed ids; they need not be valid UTF-8."""
-        return self._udf("binary", lambda coder, x: coder.decode_bytes(np.frombuffer(x or b"", dtype="<u4").tolist()))(ids)
+    def decode(self, encoded: DataFrame) -> DataFrame:
+        """(doc_id, ids, decoded): the raw bytes of packed ids; they need not be valid UTF-8."""
+        return self._map(encoded.select("doc_id", "ids"), "ids", "decoded", lambda coder, x: coder.decode_bytes(np.frombuffer(x or b"", dtype="<u4").tolist()))
 
     def count(self, text: Column) -> Column:
-        return self._udf("bigint", lambda coder, x: len(encode_text(coder, x)))(text)
+        ranks, pattern = self.ranks, self.pattern
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            coder = encoding(ranks.value, pattern)
+            for batch in batches:
+                yield pd.Series([len(encode_text(coder, x)) for x in batch], dtype="int64")
+
+        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(run, "bigint")(text)
 
 
 def round_trip(documents: DataFrame, coder: ByteBpe) -> DataFrame:
     """doc_id, ids, decoded of every row; repeated rows and null ids are kept as they are."""
-    encoded = documents.select("doc_id", coder.encode(F.col("text")).alias("ids"))
-    return encoded.select("doc_id", "ids", coder.decode(F.col("ids")).alias("decoded"))
+    return coder.decode(coder.encode(documents))
 
 
 def digests(documents: DataFrame, coder: ByteBpe) -> DataFrame:
