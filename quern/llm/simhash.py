@@ -198,11 +198,12 @@ def digests(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """documents without all but one row of each near-duplicate component: the one of the smallest
-    doc_id (null after all others), and of rows that share it the one of the smallest hash of its
-    text. Of rows equal in both one stays."""
+def keep_one(documents: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """documents without all but one row of each component of found (near_duplicates of documents if
+    it is not given): the one of the smallest doc_id (null after all others), and of rows that share
+    it the one of the smallest hash of its text. Of rows equal in both one stays."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "_crc")
-    leaders = near_duplicates(documents).groupBy("component").agg(F.min(order).alias("leader")).select("leader._key", "leader._crc")
+    found = near_duplicates(documents) if found is None else found
+    leaders = found.groupBy("component").agg(F.min(order).alias("leader")).select("leader._key", "leader._crc")
     keyed = documents.withColumns(row_keys())
     return keyed.join(leaders, ["_key", "_crc"], "left_semi").dropDuplicates(["_key", "_crc"]).drop("_key", "_crc")
