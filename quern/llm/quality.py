@@ -154,10 +154,10 @@ def judged(documents: DataFrame, class_limit: float = 0.30, word_limit: float =
     return with_distances.withColumn("_quality", quality).drop("_lang", "_words", "_shares", "_classes", "_pattern", "_m", "_shape", "_spoken")
 
 
-def accepted(documents: DataFrame) -> DataFrame:
-    """The documents that are kept. The verdict passes through a generator, since a filter on it would
+def accepted(documents: DataFrame, **limits: float) -> DataFrame:
+    """The documents that are kept, under limits of judged. The verdict passes through a generator, since a filter on it would
     otherwise move below the projections and compute what they share again and again."""
-    marked = judged(documents).withColumn("_kept", F.explode(F.array("_quality.kept")))
+    marked = judged(documents, **limits).withColumn("_kept", F.explode(F.array("_quality.kept")))
     return marked.where("_kept").drop("_kept", "_quality")
 
 
