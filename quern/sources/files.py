@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -26,14 +29,42 @@ class Files:
             stream.close()
 
     def publish(self, name: str, text: str) -> bool:
-        """Write a whole new file or none; False if the name is taken."""
-        target, draft = self._make(self.path(name)), self._make(self.path(f".{name}.draft"))
-        if self._system.exists(target):
-            return False
+        """Write a whole new file or none; False if the name is taken, also by a writer of the same moment.
+
+        Each writer has a draft of its own. Locally a hard link gives the draft its name, elsewhere a
+        rename that does not overwrite; both fail at the store itself if the name exists.
+        """
+        target, draft = self._make(self.path(name)), self._make(self.path(f".{name.replace('/', '-')}-{uuid.uuid4().hex}.draft"))
+        self._system.mkdirs(target.getParent())
         stream = self._system.create(draft, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        return self._system.rename(draft, target)
+        try:
+            if self._system.getScheme() == "file":
+                own = lambda x: self._sc._jvm.java.nio.file.Path.of(x.toUri().getPath(), self._none(self._sc._jvm.java.lang.String))
+                self._sc._jvm.java.nio.file.Files.createLink(own(target), own(draft))
+            else:
+                hadoop = self._sc._jvm.org.apache.hadoop.fs
+                context = hadoop.FileContext.getFileContext(target.toUri(), self._sc._jsc.hadoopConfiguration())
+                context.rename(draft, target, self._none(getattr(hadoop, "Options$Rename")))
+            return True
+        except Py4JJavaError as error:
+            if not self._system.exists(target):
+                raise error
+            return False
+        finally:
+            self._system.delete(draft, False)
+
+    def _none(self, kind):
+        """No further arguments of a Java method that takes any number of them."""
+        return self._sc._gateway.new_array(kind, 0)
+
+    def modified(self, name: str) -> float:
+        """When a file or folder last changed, in seconds."""
+        return self._system.getFileStatus(self._make(self.path(name))).getModificationTime() / 1000
+
+    def exists(self, name: str) -> bool:
+        return self._system.exists(self._make(self.path(name)))
 
     def delete(self, name: str) -> None:
         self._system.delete(self._make(self.path(name)), True)

@@ -1,5 +1,6 @@
 """The engine: parity with DuckDB, logic test files, crashes, transactions, random expressions."""
 
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import duckdb
@@ -12,6 +13,7 @@ from quern.errors import CODES, SqlError
 from quern.plans import nodes as n
 from quern.plans.lexer import tokenize
 from quern.plans.parser import parse, parse_expression, statements
+from quern.sources.files import Files
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -87,6 +89,7 @@ def test_crash_before_the_manifest_leaves_the_old_state(spark, tmp_path, monkeyp
                 engine.execute(statement)
         engine = Engine(spark, path)
         assert sorted(r[0] for r in engine.sql("SELECT a FROM t").collect()) == [1, 2]
+    engine.store.sweep(age=-60)
     assert len(engine.store.files.names("data")) == 1
 
 
@@ -100,6 +103,38 @@ def test_a_second_writer_is_refused(spark, tmp_path):
         two.execute("INSERT INTO t VALUES (2)")
 
 
+def test_opening_a_store_leaves_an_open_transaction_alone(spark, tmp_path):
+    path = str(tmp_path / "db")
+    first = Engine(spark, path)
+    first.script("CREATE TABLE t (a INT); INSERT INTO t VALUES (1); BEGIN; INSERT INTO t VALUES (2)")
+    second = Engine(spark, path)
+    assert second.execute("SELECT * FROM t").rows() == [(1,)]
+    assert second.store.sweep() == []
+    assert first.execute("COMMIT").kind == "affected"
+    assert sorted(first.execute("SELECT * FROM t").rows()) == sorted(Engine(spark, path).execute("SELECT * FROM t").rows()) == [(1,), (2,)]
+
+
+def test_sweep_deletes_only_what_is_old_and_listed_nowhere(spark, tmp_path):
+    path = str(tmp_path / "db")
+    engine = Engine(spark, path)
+    engine.script("CREATE TABLE t (a INT); INSERT INTO t VALUES (1); BEGIN; INSERT INTO t VALUES (2)")
+    loose = engine.store.write(spark.range(3))
+    assert engine.store.sweep() == [] and engine.store.sweep(age=-60) == [f"data/{loose}"]
+    engine.execute("COMMIT")
+    assert sorted(engine.execute("SELECT * FROM t").rows()) == [(1,), (2,)]
+
+
+def test_of_racing_commits_one_wins(spark, tmp_path):
+    files = Files(spark, str(tmp_path / "files"))
+    files.make_folder()
+    with ThreadPoolExecutor(8) as pool:
+        for k in range(10):
+            won = list(pool.map(lambda x, k=k: (x, files.publish(f"m-{k}", f"text of {x}")), range(8)))
+            winners = [x for x, done in won if done]
+            assert len(winners) == 1 and files.read(f"m-{k}") == f"text of {winners[0]}"
+    assert not [x for x in files.names() if x.endswith(".draft")]
+
+
 def test_many_inserts_are_compacted(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "db"))
     engine.script("CREATE TABLE t (a INT); CREATE INDEX i ON t (a);" + "INSERT INTO t VALUES (1);" * 18)
