@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -12,7 +13,7 @@ from quern.errors import SqlError
 from quern.functions.registry import AGGREGATES, scalar
 from quern.plans import nodes as n
 from quern.plans.scope import Relation, Scope
-from quern.plans.types import NUMERIC, Family, Typed, cast, null, stored, truth, unified, usable
+from quern.plans.types import NUMBER, NUMERIC, Family, Typed, cast, null, stored, truth, unified, usable
 
 
 @dataclass
@@ -187,10 +188,8 @@ def _case(expr: n.Case, context: Context) -> Typed:
 def _cast(expr: n.Cast, context: Context) -> Typed:
     value, target = operand(expr.operand, context), Family[expr.target]
     if isinstance(expr.operand, n.Literal) and isinstance(expr.operand.value, str) and target in (Family.INT, Family.REAL):
-        try:
-            (int if target is Family.INT else float)(expr.operand.value)
-        except ValueError:
-            raise SqlError("TypeMismatch", f"{expr.operand.value!r} is no {expr.target}") from None
+        if not re.fullmatch(NUMBER[target], expr.operand.value):
+            raise SqlError("TypeMismatch", f"{expr.operand.value!r} is no {expr.target}")
     return Typed(cast(value, target), target)
 
 

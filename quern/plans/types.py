@@ -55,16 +55,39 @@ def null(family: Family) -> Column:
     return F.lit(None).cast("string" if family in (Family.NULL, Family.OPAQUE) else family.value)
 
 
+#: What a text must be to become a number, blanks not allowed.
+NUMBER = {Family.INT: r"^[+-]?[0-9]+$", Family.REAL: r"(?i)^[+-]?([0-9]+\.?[0-9]*(e[+-]?[0-9]+)?|\.[0-9]+(e[+-]?[0-9]+)?|inf|infinity|nan)$"}
+
+
+def plain_real(value: Column) -> Column:
+    """The decimal digits of a real without an exponent and without a fraction of 0: 1e20 as a 1 and
+    twenty zeros, 0.0005 as it is written. Spark's own text has the digits, as `d.ddd` or `d.dddEn`."""
+    text = F.abs(value).cast("string")
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    power = F.when(text.contains("E"), F.substring_index(text, "E", -1)).cast("int")
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    size, whole = F.char_length(digits), power + 1
+    large = F.when(size <= whole, F.rpad(digits, whole, F.lit("0"))).otherwise(F.concat(F.left(digits, whole), F.lit("."), F.substr(digits, whole + 1)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -whole), digits)
+    sign = F.when(value < 0, "-").otherwise("")
+    plain = F.when(power.isNull(), mantissa).when(power >= 0, large).otherwise(small)
+    return F.when(F.isnan(value), "nan").when(F.abs(value) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, plain))
+
+
 def as_text(value: Typed) -> Column:
     """Decimal digits; reals without a fraction as integers, truth values as 1 and 0."""
     if value.family is Family.REAL:
-        whole = (F.rint(value.column) == value.column) & (F.abs(value.column) < F.lit(1e15))
-        return F.when(whole, value.column.cast("bigint").cast("string")).otherwise(value.column.cast("string"))
+        return F.when(value.column.isNotNull(), plain_real(value.column))
     if value.family is Family.BOOL:
         return value.column.cast("bigint").cast("string")
     return value.column.cast("string")
 
 
+def as_number(text: Column, family: Family) -> Column:
+    """A text as a number. What does not look like one whole becomes a text that Spark refuses, too."""
+    return F.when(text.rlike(NUMBER[family]), text).otherwise(F.concat(F.lit("not a number: "), text)).cast(family.value)
+
+
 def cast(value: Typed, family: Family) -> Column:
     if value.family is family:
         return value.column
@@ -73,9 +96,8 @@ def cast(value: Typed, family: Family) -> Column:
     if family in (Family.TEXT, Family.BLOB):
         text = as_text(value)
         return text if family is Family.TEXT else text.cast("binary")
-    if value.family is Family.BLOB:
-        return value.column.cast("string").cast(family.value)
-    return value.column.cast(family.value)
+    column = value.column.cast("string") if value.family is Family.BLOB else value.column
+    return as_number(column, family) if value.family in (Family.TEXT, Family.BLOB) and family in NUMBER else column.cast(family.value)
 
 
 def unified(families: list[Family]) -> Family:

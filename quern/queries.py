@@ -45,7 +45,15 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "cast_int_text": ("SELECT CAST(o_orderkey AS TEXT) AS t, CAST(o_orderkey > 5 AS TEXT) AS u FROM orders", "SELECT CAST(o_orderkey AS VARCHAR) AS t, CASE WHEN o_orderkey > 5 THEN '1' ELSE '0' END AS u FROM orders"),
     "cast_int_real": ("SELECT CAST(o_orderkey AS REAL) AS r FROM orders", "SELECT CAST(o_orderkey AS DOUBLE) AS r FROM orders"),
     "cast_text_int": ("SELECT CAST(CAST(o_orderkey AS TEXT) AS INT) AS i FROM orders", "SELECT o_orderkey AS i FROM orders"),
-    "cast_real_text": ("SELECT CAST(CAST(l_quantity AS INT) + 0.0 AS TEXT) AS t, CAST(l_linenumber + 0.5 AS TEXT) AS u FROM lineitem", "SELECT CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR) AS t, CAST(l_linenumber + 0.5::DOUBLE AS VARCHAR) AS u FROM lineitem"),
+    "cast_real_text": (
+        "SELECT CAST(CAST(l_quantity AS INT) + 0.0 AS TEXT) AS t, CAST(l_linenumber + 0.5 AS TEXT) AS u, CAST(l_partkey * 12345678.25 AS TEXT) AS v, CAST((l_orderkey + 1) * 100000000000000000.0 AS TEXT) AS w, CAST(-(l_partkey + 1) / 1000000000.0 AS TEXT) AS x FROM lineitem",
+        "SELECT CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR) AS t, CAST(l_linenumber + 0.5::DOUBLE AS VARCHAR) AS u, regexp_replace(CAST(l_partkey * 12345678.25::DECIMAL(20, 2) AS VARCHAR), '\\.?0+$', '') AS v, "
+        "(l_orderkey + 1) || '00000000000000000' AS w, regexp_replace('-0.' || lpad(CAST(l_partkey + 1 AS VARCHAR), 9, '0'), '0+$', '') AS x FROM lineitem",
+    ),
+    "cast_text_strict": (
+        "SELECT o_orderkey, CAST(s AS INT) AS i, CAST(s AS REAL) AS r FROM digits_view",
+        "SELECT o_orderkey, -o_orderkey AS i, CAST(-o_orderkey AS DOUBLE) AS r FROM orders",
+    ),
     "fn_abs": ("SELECT c_custkey, abs(c_acctbal) AS a, abs(-c_custkey) AS b FROM customer", SAME),
     "fn_coalesce": ("SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') AS s FROM orders", SAME),
     "fn_nullif": ("SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s, nullif(o_custkey, 'x') AS k FROM orders", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s, o_custkey AS k FROM orders"),
@@ -115,6 +123,7 @@ SELECTS: dict[str, tuple[str, str | None]] = {
 VIEWS = """
 CREATE VIEW rich_view AS SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal > 1000;
 CREATE VIEW richest_view AS SELECT k FROM rich_view WHERE v > 9000;
+CREATE VIEW digits_view AS SELECT o_orderkey, CAST(-o_orderkey AS TEXT) AS s FROM orders;
 CREATE VIEW status_view AS SELECT nullif(o_orderstatus, 'F') AS s FROM orders;
 """
 
