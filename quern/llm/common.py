@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that separate words, as the body of a regex class.
@@ -60,6 +63,35 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, *stems: str) -> list[str]:
+    """Names for columns of an operator's own that df does not have, whatever its columns are called."""
+    taken, found = {x.lower() for x in df.columns}, []
+    for stem in stems:
+        name = f"_{stem}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+#: Bytes of texts that a Python worker turns into lists of its own at a time.
+SLICE_BYTES = 1 << 20
+
+
+def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs of rows whose strings have `most` bytes at most, or of one longer row."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start, total = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > start and total + size > most:
+            yield start, k - start
+            start, total = k, 0
+        total += size
+    if len(sizes) > start:
+        yield start, len(sizes) - start
+
+
 def texts(column: pa.Array) -> list[str]:
     """The strings of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

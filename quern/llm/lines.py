@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections import Counter
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import input_bytes, ship, texts
+from quern.llm.common import input_bytes, ship, slices, spare
+from quern.sources.files import Files
 
 WHITE = " \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -30,10 +30,16 @@ def digest(key: bytes) -> bytes:
     return xxhash.xxh3_128_digest(key)
 
 
-def as_words(digests: list[bytes]) -> np.ndarray:
+def as_words(digests: Iterable[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
 
 
+def line_digest(line: str, least: int) -> bytes | None:
+    """The digest of a line's key, None where the key is too short to count."""
+    key = line_key(line)
+    return digest(key) if key and (least <= 1 or len(key.decode()) >= least) else None
+
+
 class Cuckoo:
     """A cuckoo filter of 16-bit fingerprints, four to a bucket. Takes digests as rows of two words;
     the second word gives fingerprint and bucket (the first one chooses the shard)."""
@@ -100,6 +106,15 @@ class Cuckoo:
         return True
 
 
+def shard_of(words: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each digest, of its first word taken as a signed number: see shard_column."""
+    return words[:, 0].view(np.int64) % shards
+
+
+def shard_column(high: str, shards: int) -> Column:
+    return F.pmod(F.col(high), F.lit(shards).cast("long"))
+
+
 class Probe:
     """All shards' filters and exceptions together: exact membership of common keys."""
 
@@ -118,7 +133,7 @@ class Probe:
         if not digests:
             return np.zeros(0, bool)
         words = as_words(digests)
-        shard = (words[:, 0] % np.uint64(self.shards)).astype(np.int64)
+        shard = shard_of(words, self.shards)
         prints, first, second = Cuckoo.places(words, self.size[shard])
         base = self.base[shard]
         held = ((self.table[base + first] == prints[:, None]) | (self.table[base + second] == prints[:, None])).any(1)
@@ -127,163 +142,230 @@ class Probe:
         return held
 
 
+#: Distinct keys that a task counts before it sends them on, and keys that a shard may have.
+KEYS_HELD, SHARD_KEYS = 1 << 17, 250_000
+LAYER = "high long, low long, change long"
+FILTERS = "shard long, filter binary, exceptions binary, lacking long"
+
+
 class LineIndex:
     """Counts in how many documents each line key stands, and drops lines whose key is common.
 
-    State lies under `root` as versions, each an exact table refs (shard, key digest, n) and a table
-    filters (shard, cuckoo filter of the keys in at least min_docs documents, exceptions: the digests
-    of rarer keys that the filter wrongly holds). A version counts once its marker is written, so an
+    The state lies under `root`. Exact reference counts are layers, tables of signed changes (the two
+    halves of a key's digest, change) that add up: a commit writes only the keys of its batch, and
+    takes in the newest layers that are not at least twice its size, so that there are few of them and
+    a key is rewritten seldom. Beside them each shard of keys has a cuckoo filter of those in at least
+    min_docs documents and its exceptions: the digests of rarer keys that the filter wrongly holds.
+    Only shards that a batch touches get a new filter, changed in place where there is room. There are
+    as many shards as keep each under SHARD_KEYS keys; they double as the index grows.
+
+    A version counts once its marker is published, which only one of racing writers can do, so an
     interrupted commit changes nothing, and a batch committed before is skipped. Documents are rows:
     repeated rows count each, null text is one empty line, keys shorter than min_chars code points
     are neither counted nor dropped. Deleting takes the rows that were inserted; every later result
-    is as if they had never been.
+    is as if they had never been. An empty batch changes nothing but the list of batches.
     """
 
-    def __init__(self, spark: SparkSession, root: str, min_docs: int = 10, min_chars: int = 1, shards: int = 64, broadcast_bytes: int = 64 << 20):
+    def __init__(self, spark: SparkSession, root: str, min_docs: int = 10, min_chars: int = 1, shards: int = 8, broadcast_bytes: int = 64 << 20):
         ship(spark)
-        self.spark, self.root, self.min_docs, self.min_chars, self.shards, self.broadcast_bytes = spark, root, min_docs, min_chars, shards, broadcast_bytes
-        self.version, self.batches = self._latest()
+        self.spark, self.root, self.min_docs, self.min_chars, self.broadcast_bytes = spark, root, min_docs, min_chars, broadcast_bytes
+        self.files = Files(spark, root)
+        done = sorted(int(x) for x in self.files.names("commits") if x.isdigit())
+        self.version = done[-1] if done else 0
+        state = json.loads(self.files.read(f"commits/{self.version}")) if done else {"batches": [], "layers": [], "filters": None, "shards": max(1, shards)}
+        self.batches: list[str] = state["batches"]
+        #: (folder, rows) of each layer, the oldest first.
+        self.layers: list[tuple[str, int]] = [tuple(x) for x in state["layers"]]
+        self.filter_folder, self.shards = state["filters"], state["shards"]
 
     @staticmethod
     def shards_for(documents: DataFrame) -> int:
-        """A shard for each 32 MB of input, so that a shard fits in one task."""
-        return int(min(1 << 16, max(8, input_bytes(documents) >> 25)))
-
-    def _file(self, path: str):
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
-        return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _latest(self) -> tuple[int, list[str]]:
-        target, system = self._file("commits")
-        if not system.exists(target):
-            return 0, []
-        done = sorted(int(x.getPath().getName()) for x in system.listStatus(target) if x.getPath().getName().isdigit())
-        return (done[-1], json.loads(self.spark.read.text(f"{self.root}/commits/{done[-1]}", wholetext=True).first()[0])) if done else (0, [])
-
-    def _mark(self, version: int, batches: list[str]) -> None:
-        draft, system = self._file(f"commits/.draft-{version}")
-        stream = system.create(draft, True)
-        stream.write(bytearray(json.dumps(batches).encode()))
-        stream.close()
-        if not system.rename(draft, self._file(f"commits/{version}")[0]):
-            raise RuntimeError(f"version {version} was committed by another writer")
+        """A shard for each 32 MB of input: about as many as it will need."""
+        return max(8, input_bytes(documents) >> 25)
 
     def postings(self, documents: DataFrame, sign: int) -> DataFrame:
-        """(shard, key, n): documents by key, summed within each batch of rows."""
-        least, shards = self.min_chars, self.shards
+        """(high, low, change): documents by key, counted in each task first. Texts are taken one at a
+        time; a task holds KEYS_HELD digests and those of one text."""
+        least = self.min_chars
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found: Counter[bytes] = Counter()
-                for text in texts(batch.column("text")):
-                    found.update({k for k in map(line_key, text.split("\n")) if k and (least <= 1 or len(k.decode()) >= least)})
-                if found:
-                    keys = list(map(digest, found))
-                    shard = (as_words(keys)[:, 0] % np.uint64(shards)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(keys, pa.binary()), pa.array(list(found.values()), pa.int64())], names=["shard", "key", "n"])
+            found: dict[bytes, int] = {}
 
-        counted = documents.select("text").mapInArrow(run, "shard int, key binary, n long")
-        return counted.groupBy("shard", "key").agg((F.sum("n") * sign).alias("change"))
+            def share() -> pa.RecordBatch:
+                words = as_words(found)
+                return pa.RecordBatch.from_arrays([pa.array(words[:, 0].view(np.int64)), pa.array(words[:, 1].view(np.int64)), pa.array(np.fromiter(found.values(), np.int64, len(found)) * sign)], names=["high", "low", "change"])
+
+            for batch in batches:
+                for text in batch.column("text"):
+                    for key in {line_digest(x, least) for x in (text.as_py() or "").split("\n")}:
+                        if key is not None:
+                            found[key] = found.get(key, 0) + 1
+                    if len(found) >= KEYS_HELD:
+                        yield share()
+                        found.clear()
+            if found:
+                yield share()
+
+        return documents.select("text").mapInArrow(run, LAYER)
+
+    def _layered(self, layers: list[tuple[str, int]]) -> DataFrame:
+        if not layers:
+            return self.spark.createDataFrame([], LAYER)
+        return self.spark.read.schema(LAYER).parquet(*(f"{self.root}/{x}" for x, _ in layers))
 
     def refs(self) -> DataFrame:
-        """(shard, key, n) of the latest version."""
-        if not self.version:
-            return self.spark.createDataFrame([], "shard int, key binary, n long")
-        return self.spark.read.parquet(f"{self.root}/{self.version}/refs").where("after > 0").select("shard", "key", F.col("after").alias("n"))
+        """(key, n) of the latest version; key is a struct of the digest's halves."""
+        summed = self._layered(self.layers)
+        if len(self.layers) > 1:
+            summed = summed.groupBy("high", "low").agg(F.sum("change").alias("change"))
+        return summed.where("change > 0").select(F.struct("high", "low").alias("key"), F.col("change").alias("n"))
 
     def filters(self) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], "shard int, filter binary, exceptions binary")
-        return self.spark.read.parquet(f"{self.root}/{self.version}/filters")
+        if self.filter_folder is None:
+            return self.spark.createDataFrame([], FILTERS)
+        return self.spark.read.schema(FILTERS).parquet(f"{self.root}/{self.filter_folder}")
 
     def commit(self, batch_id: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
-        """Apply a batch; False if one of that id was committed before."""
+        """Apply a batch; False if one of that id was committed before. ValueError if it deletes what
+        was not inserted, RuntimeError if another writer has committed meanwhile."""
         if batch_id in self.batches:
             return False
-        changes = [self.postings(x, sign) for x, sign in ((inserts, 1), (deletes, -1)) if x is not None]
-        version, least = self.version + 1, self.min_docs
-        columns = ["shard", "key", "before", "change"]
-        parts = [self.refs().select("shard", "key", F.col("n").alias("before"), F.lit(0).cast("long").alias("change"))]
-        parts += [x.select("shard", "key", F.lit(0).cast("long").alias("before"), "change") for x in changes]
-        everything = parts[0].select(columns) if self.version else None
-        for part in parts[1:]:
-            everything = part.select(columns) if everything is None else everything.union(part.select(columns))
-        if everything is None:
-            everything = parts[0]
-        merged = everything.groupBy("shard", "key").agg(F.sum("before").alias("before"), F.sum(F.col("before") + F.col("change")).alias("after"))
-        merged.write.mode("overwrite").parquet(f"{self.root}/{version}/refs")
-        written = self.spark.read.parquet(f"{self.root}/{version}/refs")
-        if deletes is not None and written.where("after < 0").limit(1).count():
-            raise ValueError(f"batch {batch_id} deletes documents that were not inserted")
-
-        def build(old: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-            if not len(rows):
-                return pd.DataFrame({"shard": [], "filter": [], "exceptions": []})
-            words = as_words(rows["key"].tolist())
-            was, now = (rows["before"] >= least).to_numpy(), (rows["after"] >= least).to_numpy()
-            held = Cuckoo.loads(old["filter"].iloc[0]) if len(old) else None
+        name = uuid.uuid4().hex
+        batch = self.spark.createDataFrame([], LAYER)
+        for documents, sign in ((inserts, 1), (deletes, -1)):
+            if documents is not None:
+                batch = batch.union(self.postings(documents, sign))
+        batch.groupBy("high", "low").agg(F.sum("change").alias("change")).where("change <> 0").write.parquet(f"{self.root}/layers/{name}")
+        rows = self._layered([(f"layers/{name}", 0)]).count()
+        new, known = [(f"layers/{name}", rows)] if rows else [], sum(n for _, n in self.layers) + rows
+        shards, filters = self.shards, self.filter_folder
+        while known > SHARD_KEYS * shards:
+            shards *= 2
+        if new:
+            filters = f"filters/{name}"
+            self._filtered(new, shards).write.parquet(f"{self.root}/{filters}")
+            if deletes is not None and self.spark.read.schema(FILTERS).parquet(f"{self.root}/{filters}").where("lacking > 0").limit(1).count():
+                raise ValueError(f"batch {batch_id} deletes documents that were not inserted")
+        layers = self._merged([*self.layers, *new], name)
+        batches, version = [*self.batches, batch_id], self.version + 1
+        state = {"batches": batches, "layers": layers, "filters": filters, "shards": shards}
+        if not self.files.publish(f"commits/{version}", json.dumps(state)):
+            raise RuntimeError(f"version {version} was committed by another writer")
+        self.version, self.batches, self.layers, self.filter_folder, self.shards = version, batches, layers, filters, shards
+        return True
+
+    def _merged(self, layers: list[tuple[str, int]], name: str) -> list[tuple[str, int]]:
+        """layers with the newest ones made one while the one before is not twice as large as they are."""
+        first = len(layers) - 1
+        while first > 0 and layers[first - 1][1] < 2 * sum(n for _, n in layers[first:]):
+            first -= 1
+        if first >= len(layers) - 1:
+            return layers
+        folder = f"layers/{name}-merged"
+        self._layered(layers[first:]).groupBy("high", "low").agg(F.sum("change").alias("change")).where("change <> 0").write.parquet(f"{self.root}/{folder}")
+        return [*layers[:first], (folder, self._layered([(folder, 0)]).count())]
+
+    def _filtered(self, new: list[tuple[str, int]], shards: int) -> DataFrame:
+        """All shards' filters after the layer `new`; `lacking` counts keys that it takes below 0."""
+        least = self.min_docs
+
+        def build(old: pa.Table, rows: pa.Table) -> pa.Table:
+            words = np.stack([rows.column(x).to_numpy().view(np.uint64) for x in ("high", "low")], axis=1)
+            order = np.lexsort((words[:, 1], words[:, 0]))
+            words = words[order]
+            first = np.ones(len(words), bool)
+            first[1:] = (words[1:] != words[:-1]).any(1)
+            at = np.nonzero(first)[0]
+            words = words[at]
+            before, after = (np.add.reduceat(rows.column(x).to_numpy()[order], at) for x in ("before", "after"))
+            was, now = before >= least, after >= least
+            held = Cuckoo.loads(old.column("filter")[0].as_py()) if old.num_rows else None
             roomy = held is not None and now.sum() <= 0.9 * held.table.size
             if not (roomy and held.delete(words[was & ~now]) and held.insert(words[now & ~was])):
                 size = int(now.sum())
                 while not (held := Cuckoo.sized(size)).insert(words[now]):
                     size *= 2
-            wrong = held.contains(words) & ~now & (rows["after"] > 0).to_numpy()
-            return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "filter": [held.dumps()], "exceptions": [b"".join(rows["key"][wrong])]})
-
-        made = self.filters().groupBy("shard").cogroup(written.groupBy("shard")).applyInPandas(build, "shard int, filter binary, exceptions binary")
-        made.write.mode("overwrite").parquet(f"{self.root}/{version}/filters")
-        self._mark(version, [*self.batches, batch_id])
-        self.version, self.batches = version, [*self.batches, batch_id]
-        return True
-
-    def drop_common(self, documents: DataFrame) -> DataFrame:
+            wrong = held.contains(words) & ~now & (after > 0)
+            shard = int(shard_of(words[:1], shards)[0])
+            return pa.table({"shard": pa.array([shard], pa.int64()), "filter": pa.array([held.dumps()], pa.binary()), "exceptions": pa.array([words[wrong].astype("<u8").tobytes()], pa.binary()), "lacking": pa.array([int((after < 0).sum())], pa.int64())})
+
+        build.__annotations__ = {"old": pa.Table, "rows": pa.Table, "return": pa.Table}
+        shard = shard_column("high", shards).alias("shard")
+        changes = self._layered(new).select(shard, "high", "low", F.lit(0).cast("long").alias("before"), F.col("change").alias("after"))
+        stood = self._layered(self.layers).select(shard, "high", "low", F.col("change").alias("before"), F.col("change").alias("after"))
+        if not self.layers:
+            everything, old = changes, self.spark.createDataFrame([], FILTERS)
+        elif shards != self.shards:
+            everything, old = stood.union(changes), self.spark.createDataFrame([], FILTERS)
+        else:
+            touched = changes.select("shard").distinct()
+            everything, old = stood.join(touched, "shard", "left_semi").union(changes), self.filters().join(touched, "shard", "left_semi")
+        made = old.groupBy("shard").cogroup(everything.groupBy("shard")).applyInArrow(build, FILTERS)
+        if self.layers and shards == self.shards:
+            made = made.union(self.filters().join(touched, "shard", "left_anti"))
+        return made
+
+    def drop_common(self, documents: DataFrame, committed: bool = False) -> DataFrame:
         """documents with column `text` without the lines of common keys, and columns n_lines and
         n_dropped (any of these names in the input is replaced).
 
-        While the filters fit in broadcast_bytes each task probes them; beyond that, distinct keys
-        are joined to the exact table and each document gets its own common keys.
+        committed: every row of documents stands in the index. For such rows the filters and their
+        exceptions are exact, and while they fit in broadcast_bytes each task probes them. Otherwise
+        each text's keys are joined to the exact counts. Both ways give the same result. Null text is
+        one empty line; an empty table gives an empty one; repeated rows are each rewritten.
         """
-        size = self.filters().agg(F.sum(F.length("filter") + F.length("exceptions"))).first()[0] or 0
-        if size <= self.broadcast_bytes:
-            probe = self.spark.sparkContext.broadcast([tuple(x) for x in self.filters().collect()])
-            return self._rewritten(documents, probe)
-        return self._rewritten(self._with_common(documents), None)
-
-    def _with_common(self, documents: DataFrame) -> DataFrame:
-        """documents with a binary column _common: the digests of its common keys."""
+        if committed and 16 * self.shards <= self.broadcast_bytes:
+            size = self.filters().agg(F.sum(F.length("filter") + F.length("exceptions"))).first()[0] or 0
+            if size <= self.broadcast_bytes:
+                found = self.filters().select("shard", "filter", "exceptions").collect()
+                return self._rewritten(documents, self.spark.sparkContext.broadcast([tuple(x) for x in found]))
+        return self._by_join(documents)
+
+    def _by_join(self, documents: DataFrame) -> DataFrame:
+        """The exact way: equal texts are one by their digests, their keys meet the exact counts, and
+        each text gets the digests of its common keys."""
         least = self.min_chars
-
-        def keys(batch: pd.Series) -> pd.Series:
-            return pd.Series([[digest(k) for k in {line_key(x) for x in (text or "").split("\n")} if k and len(k.decode()) >= least] for text in batch])
-
-        keys.__annotations__ = {"batch": pd.Series, "return": pd.Series}
-        of = documents.select("text").distinct().select(F.xxhash64("text").alias("_hash"), F.md5("text").alias("_md5"), F.explode(F.pandas_udf(keys, "array<binary>")("text")).alias("key"))
-        common = self.refs().where(F.col("n") >= self.min_docs).select("key")
-        gathered = of.join(common, "key").groupBy("_hash", "_md5").agg(F.concat(F.lit(b""), F.array_join(F.sort_array(F.collect_list(F.hex("key"))), "").cast("binary")).alias("_common"))
-        marked = documents.withColumn("_hash", F.xxhash64("text")).withColumn("_md5", F.md5("text"))
-        return marked.join(gathered, ["_hash", "_md5"], "left").drop("_hash", "_md5")
-
-    def _rewritten(self, documents: DataFrame, shared) -> DataFrame:
-        shards = self.shards
-
-        def clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        print_, common = spare(documents, "print", "common")
+
+        def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            kind = pa.list_(pa.struct([("high", pa.int64()), ("low", pa.int64())]))
+            for column in batches:
+                for start, count in slices(column):
+                    words = [as_words(sorted({line_digest(x, least) for x in (text.as_py() or "").split("\n")} - {None})).view(np.int64) for text in column.slice(start, count)]
+                    yield pa.array([[{"high": a, "low": b} for a, b in x.tolist()] for x in words], kind)
+
+        keys.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        marked = documents.withColumn(print_, F.sha2(F.coalesce("text", F.lit("")), 256))
+        found = marked.select(F.col(print_).alias("print"), F.explode(F.arrow_udf(keys, "array<struct<high:long,low:long>>")("text")).alias("key")).distinct()
+        often = self.refs().where(F.col("n") >= self.min_docs).select("key")
+        gathered = found.join(often, "key").groupBy("print").agg(F.collect_list("key").alias(common)).withColumnRenamed("print", print_)
+        return self._rewritten(marked.join(gathered, print_, "left").drop(print_), None, common)
+
+    def _rewritten(self, documents: DataFrame, shared, common: str | None = None) -> DataFrame:
+        shards, least = self.shards, self.min_chars
+        (clean_,) = spare(documents, "clean")
+
+        def clean(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             probe = Probe(shared.value, shards) if shared is not None else None
             for column, own in batches:
-                split = [(x or "").split("\n") for x in column]
-                if probe is None:
-                    listed = [{bytes.fromhex(bytes(x).decode())[k : k + 16] for k in range(0, len(x) // 2, 16)} if x is not None else set() for x in own]
-                    kept = [[line for line in lines if not (k := line_key(line)) or digest(k) not in found] for lines, found in zip(split, listed, strict=True)]
-                else:
-                    keys = list({k for lines in split for k in map(line_key, lines) if k})
-                    common = {k for k, hit in zip(keys, probe.common(list(map(digest, keys))), strict=True) if hit}
-                    kept = [[line for line in lines if line_key(line) not in common] for lines in split]
-                yield pd.DataFrame({"text": ["\n".join(x) for x in kept], "n_lines": [len(x) for x in split], "n_dropped": [len(x) - len(y) for x, y in zip(split, kept, strict=True)]})
-
-        clean.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-        own = F.col("_common") if shared is None else F.lit(None).cast("binary")
-        done = documents.withColumn("_clean", F.pandas_udf(clean, "text string, n_lines long, n_dropped long")("text", own))
-        return done.withColumns({x: F.col(f"_clean.{x}") for x in ("text", "n_lines", "n_dropped")}).drop("_clean", "_common")
+                for start, count in slices(column):
+                    split = [(x.as_py() or "").split("\n") for x in column.slice(start, count)]
+                    keys = [[line_digest(x, least) for x in lines] for lines in split]
+                    if probe is None:
+                        gone = [{np.array([[y["high"], y["low"]]], "<i8").tobytes() for y in x.as_py() or ()} for x in own.slice(start, count)]
+                    else:
+                        asked = list({k for found in keys for k in found} - {None})
+                        gone = [{k for k, hit in zip(asked, probe.common(asked).tolist(), strict=True) if hit}] * count
+                    kept = [[x for x, k in zip(lines, found, strict=True) if k not in out] for lines, found, out in zip(split, keys, gone, strict=True)]
+                    sizes = [pa.array(x, pa.int64()) for x in (list(map(len, split)), [len(a) - len(b) for a, b in zip(split, kept, strict=True)])]
+                    yield pa.StructArray.from_arrays([pa.array(["\n".join(x) for x in kept], pa.string()), *sizes], names=["text", "n_lines", "n_dropped"])
+
+        clean.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+        own = F.lit(None).cast("int") if common is None else F.col(common)
+        done = documents.withColumn(clean_, F.arrow_udf(clean, "text string, n_lines long, n_dropped long")("text", own))
+        return done.withColumns({x: F.col(clean_)[x] for x in ("text", "n_lines", "n_dropped")}).drop(clean_, *([common] if common else []))
 
 
 def digests(index: LineIndex, documents: DataFrame) -> DataFrame:
-    return index.drop_common(documents.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    """The query's columns for documents that are committed to index."""
+    return index.drop_common(documents.select("doc_id", "text"), committed=True).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
