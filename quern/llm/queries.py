@@ -109,21 +109,21 @@ ORACLE_SQL: dict[str, str] = {
         ), placed AS (SELECT r, words, unnest(range(1, n_words - 1)) AS i FROM m WHERE n_words > 3),
         grams AS (SELECT r, i, count(*) OVER (PARTITION BY r, words[i], words[i + 1], words[i + 2]) AS n FROM placed),
         covered AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM grams, (VALUES (0), (1), (2)) AS t(k) WHERE n > 1 GROUP BY r),
-        own AS (SELECT lang FROM m WHERE lang IS NOT NULL AND lang <> '*' GROUP BY lang HAVING sum(n_words) >= {quality.LANGUAGE_WORDS}),
-        keyed AS (SELECT m.*, length(text) AS chars, coalesce(own.lang, '*') AS ref FROM m LEFT JOIN own ON m.lang = own.lang),
-        seen AS (SELECT * FROM keyed WHERE ref <> '*' UNION ALL SELECT * REPLACE ('*' AS ref) FROM keyed),
+        own AS (SELECT lang FROM m WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= {quality.LANGUAGE_WORDS}),
+        keyed AS (SELECT m.*, length(text) AS chars, own.lang IS NULL AS pooled, own.lang AS ref FROM m LEFT JOIN own ON m.lang = own.lang),
+        seen AS (SELECT * FROM keyed WHERE NOT pooled UNION ALL SELECT * REPLACE (TRUE AS pooled, NULL AS ref) FROM keyed),
         totals AS (
-            SELECT ref, sum(n_words) AS n, sum(upper) / sum(chars) AS u, sum(digits) / sum(chars) AS g, sum(n_symbols) / sum(chars) AS y,
-                sum(chars - word_chars) / sum(chars) AS s, sum(marks) / sum(chars) AS p, sum(word_chars - n_symbols - upper - digits - marks) / sum(chars) AS o FROM seen GROUP BY ref
-        ), spoken AS (SELECT r, ref, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS word FROM seen),
-        short AS (SELECT ref, word, count(*) AS n FROM spoken WHERE length(word) <= {quality.COMMON_LETTERS} GROUP BY ref, word),
-        top AS (SELECT ref, word, short.n / totals.n AS q FROM short JOIN totals USING (ref) QUALIFY row_number() OVER (PARTITION BY ref ORDER BY short.n DESC, word) <= {quality.COMMON_WORDS}),
-        mine AS (SELECT r, ref, word, count(*) AS n FROM spoken JOIN keyed USING (r, ref) GROUP BY r, ref, word),
-        pairs AS (SELECT k.r, coalesce(mine.n, 0) / k.n_words AS p, top.q FROM keyed k JOIN top USING (ref) LEFT JOIN mine ON mine.r = k.r AND mine.word = top.word WHERE k.n_words >= 200
-            UNION ALL SELECT r, greatest(0, 1 - sum(p)), greatest(0, 1 - sum(q)) FROM (SELECT k.r, coalesce(mine.n, 0) / k.n_words AS p, top.q FROM keyed k JOIN top USING (ref) LEFT JOIN mine ON mine.r = k.r AND mine.word = top.word WHERE k.n_words >= 200) GROUP BY r),
-        shaped AS (SELECT r, unnest([upper, digits, n_symbols, chars - word_chars, marks, word_chars - n_symbols - upper - digits - marks]) / chars AS p, unnest([u, g, y, s, t.p, o]) AS q FROM keyed JOIN totals t USING (ref) WHERE chars >= 200),
+            SELECT pooled, ref, sum(n_words) AS n, sum(upper) / sum(chars) AS u, sum(digits) / sum(chars) AS g, sum(n_symbols) / sum(chars) AS y,
+                sum(chars - word_chars) / sum(chars) AS s, sum(marks) / sum(chars) AS p, sum(word_chars - n_symbols - upper - digits - marks) / sum(chars) AS o FROM seen GROUP BY pooled, ref
+        ), spoken AS (SELECT r, pooled, ref, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS word FROM seen),
+        counts AS (SELECT pooled, ref, word, count(*) AS n FROM spoken GROUP BY pooled, ref, word),
+        top AS (SELECT c.pooled, c.ref, word, c.n / t.n AS q FROM counts c JOIN totals t ON c.pooled = t.pooled AND c.ref IS NOT DISTINCT FROM t.ref WHERE 1000 * c.n >= {quality.COMMON_PERMILLE} * t.n),
+        mine AS (SELECT s.r, word, count(*) AS n FROM spoken s JOIN keyed k ON s.r = k.r AND s.pooled = k.pooled GROUP BY s.r, word),
+        shares AS (SELECT k.r, coalesce(mine.n, 0) / k.n_words AS p, top.q FROM keyed k JOIN top ON top.pooled = k.pooled AND top.ref IS NOT DISTINCT FROM k.ref LEFT JOIN mine ON mine.r = k.r AND mine.word = top.word WHERE k.n_words >= 50),
+        pairs AS (SELECT r, p, q FROM shares UNION ALL SELECT r, greatest(0, 1 - sum(p)), greatest(0, 1 - sum(q)) FROM shares GROUP BY r),
+        shaped AS (SELECT r, unnest([upper, digits, n_symbols, chars - word_chars, marks, word_chars - n_symbols - upper - digits - marks]) / chars AS p, unnest([u, g, y, s, t.p, o]) AS q FROM keyed k JOIN totals t ON k.pooled = t.pooled AND k.ref IS NOT DISTINCT FROM t.ref WHERE chars >= 200),
         far AS (
-            SELECT r FROM (SELECT r, p, q, 0.36 AS most FROM pairs UNION ALL SELECT r, p, q, 0.30 FROM shaped) GROUP BY r, most
+            SELECT r FROM (SELECT r, p, q, 0.35 AS most FROM pairs UNION ALL SELECT r, p, q, 0.30 FROM shaped) GROUP BY r, most
             HAVING sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2))) > most
         ), judged AS (
             SELECT m.*, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM m LEFT JOIN covered USING (r)
