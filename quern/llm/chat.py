@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.llm.common import staged
+
 HEAD, HEAD_END, TURN_END = "### ", ":\n", "</turn>\n"
 EVENTS = "conv_id long, seq long, kind string, turn long, role string, text string"
 
@@ -58,7 +60,9 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss_spans): one row for each conversation.
+    """(conv_id, formatted, loss_spans): one row for each conversation, null conv_id and turn being
+    values like any other. Null texts and roles are empty ones; messages of one turn go in order of their text; an empty input gives an empty result. Only the four columns
+    conv_id, turn, role and text of the input are looked at.
 
     A turn is `### role:`, its text and `</turn>`, each with a line break as in the constants; control
     strings inside texts and roles are escaped. loss_spans are starts (from 0) and lengths in code
@@ -94,19 +98,27 @@ def read_back(rendered: DataFrame) -> DataFrame:
     return joined.select("conv_id", "turn", unescape(role).alias("role"), unescape(F.expr("substring(block, head + 1)")).alias("text"), unescape(F.expr("substring(block, head + 1, cast(length as int))")).alias("loss_text"))
 
 
-def as_events(conversations: DataFrame, piece: int = 512) -> DataFrame:
+def as_events(conversations: DataFrame, piece: int = 512, draft: int = 64) -> DataFrame:
     """The log of a table of rows (conv_id, turn, role, text) by turn: rows of one turn go by role and
-    text. An assistant's text arrives as an empty message and deltas of `piece` code points."""
+    text. An assistant first streams a draft of other words, is asked to regenerate, and then sends its
+    text in deltas of `piece` code points. Anyone else sends the beginning of a text and then edits
+    the message to be the whole. Folded, the log gives the table's texts again: null as empty, an
+    empty table as an empty log. Other columns of the input are not looked at."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("place", F.row_number().over(order).cast("long"))
-    whole = F.array(F.struct(F.lit("message").alias("kind"), F.col("text").alias("text")))
-    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.char_length("text") / piece).cast("int")), lambda i: F.struct(F.when(i == 0, "message").otherwise("delta").alias("kind"), F.when(i == 0, "").otherwise(F.substr("text", (i - 1) * piece + 1, F.lit(piece))).alias("text")))
-    streamed = rows.withColumn("pieces", F.when(F.col("role") == "assistant", pieces).otherwise(whole))
-    return streamed.select("conv_id", "place", "role", F.posexplode("pieces").alias("k", "piece")).select("conv_id", (F.col("place") * (1 << 32) + F.col("k")).alias("seq"), "piece.kind", F.col("place").alias("turn"), "role", "piece.text")
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    begun = F.left("text", F.lit(draft))
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.char_length("text") / piece).cast("int")), lambda i: event("delta", F.when(i == 0, "").otherwise(F.substr("text", (i - 1) * piece + 1, F.lit(piece)))))
+    streamed = F.concat(F.array(event("message", F.lit("")), event("delta", F.reverse(begun)), event("regenerate", F.lit(""))), pieces)
+    edited = F.array(event("message", begun), event("edit", F.col("text")))
+    log = rows.withColumn("events", F.when(F.col("role") == "assistant", streamed).otherwise(edited))
+    return log.select("conv_id", "place", "role", F.posexplode("events").alias("k", "event")).select("conv_id", (F.col("place") * (1 << 32) + F.col("k")).alias("seq"), "event.kind", F.col("place").alias("turn"), "role", "event.text")
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    rendered = render(fold(as_events(conversations)))
+    """The query's columns, read back from the rendered conversations, which are written once: the log
+    is folded a single time, and a lost executor costs only its share."""
+    rendered = staged(render(fold(as_events(conversations))), "chat-rendered")
     turn = F.struct("turn", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("shown"), F.coalesce("loss_text", F.lit("")).alias("loss"))
     read = read_back(rendered).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sort_array(F.collect_list(turn)).alias("turns"))
     joined = lambda field: F.array_join(F.transform("turns", lambda x: x[field]), "")
