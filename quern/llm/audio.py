@@ -70,8 +70,8 @@ def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
     out = []
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     for k in range(0, len(frames), 256):
-        power = np.abs(np.fft.rfft(frames[k : k + 256] * TAPER)) ** 2
-        out.append(power @ PITCH_CLASSES)
+        spectrum = np.fft.rfft(frames[k : k + 256] * TAPER)
+        out.append((spectrum.real**2 + spectrum.imag**2) @ PITCH_CLASSES)
     energy = np.concatenate(out)
     size = np.sqrt((energy**2).sum(1, keepdims=True))
     return np.where(size > 1e-4, energy / np.maximum(size, 1e-12), 0.0)
@@ -134,7 +134,7 @@ def fingerprints(recordings: DataFrame, key: str, column: str, decode: Callable[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = [b"" if x is None else fingerprint(chroma(*decode(x))).astype("<u4").tobytes() for x in batch.column("media").to_pylist()]
+            items = [fingerprint(chroma(*decode(x.as_py()))).astype("<u4").tobytes() if x.is_valid else b"" for x in batch.column("media")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(items, pa.binary())], names=["id", "items"])
 
     return recordings.select(F.col(key).cast("long").alias("id"), F.col(column).alias("media")).mapInArrow(run, "id long, items binary")
@@ -148,41 +148,54 @@ def class_members(prints: DataFrame) -> DataFrame:
     return marked.join(first, "digest").select("id", "items", "class_id")
 
 
-def index_keys(items: np.ndarray, probe: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(key, place): of every three items STRIDE frames apart their upper and their lower halves.
-    Probes also ask for each key with one bit the other way, for what an error has changed."""
+def index_keys(items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, place, length) of runs of equal keys: of every three items STRIDE frames apart their upper
+    and their lower halves. Where a tone or silence holds, the same key comes frame after frame; such
+    a run is one row."""
     wide = items.astype(np.int64)
     room = max(0, len(wide) - 2 * STRIDE)
-    keys, places = [], []
+    keys, places, lengths = [], [], []
     for tag, shift in ((1, 16), (2, 0)):
         half = (wide >> shift) & 0xFFFF
         key = (tag << 60) | (half[:room] << 32) | (half[STRIDE : STRIDE + room] << 16) | half[2 * STRIDE : 2 * STRIDE + room]
-        for flip in (0, *(1 << bit for bit in range(48))) if probe else (0,):
-            keys.append(key ^ flip)
-            places.append(np.arange(room))
-    return np.concatenate(keys), np.concatenate(places)
+        start = np.nonzero(np.append(True, key[1:] != key[:-1]))[0] if room else np.zeros(0, np.int64)
+        keys.append(key[start])
+        places.append(start)
+        lengths.append(np.diff(np.append(start, room)) if room else start)
+    return np.concatenate(keys), np.concatenate(places), np.concatenate(lengths)
+
+
+#: What a probe asks for: a key, and it with each one of its 48 bits the other way.
+FLIPS = np.array([0, *(1 << bit for bit in range(48))], np.int64)
 
 
 def align(queries: DataFrame, classes: DataFrame, most_errors: float = 0.125, least_overlap: int = 16) -> DataFrame:
     """(query, match, offset, overlap, bit_errors) of classes (class_id, items) against one another.
 
-    Keys in common (see index_keys) vote for an offset; the offset of most
-    votes (of ties the smallest) is then judged on all overlapping items by the share of bits that
-    differ. Every vote counts; nothing is capped.
+    Keys in common (see index_keys), also those that one wrong bit has changed, vote for an offset;
+    the offset of most votes (of ties the smallest) is then judged on all overlapping items by the
+    share of bits that differ. Every vote counts; nothing is capped. Two runs of one key vote for all
+    offsets at which they overlap, each as often as frames then meet, in one row for each offset: as
+    many as the runs are long, not as their product. Classes without items, and those of null id,
+    give no row; a class repeated in the input votes as often as it comes.
     """
 
     def keys(batches: Iterator[pa.RecordBatch], probe: bool) -> Iterator[pa.RecordBatch]:
+        flips = FLIPS if probe else FLIPS[:1]
         for batch in batches:
             for k in range(0, batch.num_rows, 100):
                 some = batch.slice(k, 100)
-                coded = [index_keys(np.frombuffer(x, "<u4"), probe) for x in some.column("items").to_pylist()]
-                owner = np.repeat(some.column("class_id").to_numpy(zero_copy_only=False), [len(x) for x, _ in coded])
-                yield pa.RecordBatch.from_arrays([pa.array(owner), *(pa.array(np.concatenate(x)) for x in zip(*coded, strict=True))], names=["class_id", "key", "at"])
+                coded = [index_keys(np.frombuffer(x.as_py() or b"", "<u4")) for x in some.column("items")]
+                owner = np.repeat(some.column("class_id").to_numpy(zero_copy_only=False), [len(x) for x, _, _ in coded])
+                key, at, length = (np.concatenate(x) for x in zip(*coded, strict=True))
+                columns = np.repeat(owner, len(flips)), (key[:, None] ^ flips).ravel(), np.repeat(at, len(flips)), np.repeat(length, len(flips))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["class_id", "key", "at", "length"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for query, match, offset, a, b in zip(*(batch.column(x).to_pylist() for x in ("query", "match", "offset", "query_items", "match_items")), strict=True):
+            for row in zip(*(batch.column(x) for x in ("query", "match", "offset", "query_items", "match_items")), strict=True):
+                query, match, offset, a, b = (x.as_py() for x in row)
                 x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
                 x, y = x[max(0, -offset) :], y[max(0, offset) :]
                 size = min(len(x), len(y))
@@ -192,13 +205,18 @@ def align(queries: DataFrame, classes: DataFrame, most_errors: float = 0.125, le
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["query", "match", "offset", "overlap", "bit_errors"])
 
-    schema = "class_id long, key long, at long"
-    asked = queries.mapInArrow(lambda x: keys(x, True), schema).select(F.col("class_id").alias("query"), "key", F.col("at").alias("query_at"))
-    held = classes.mapInArrow(lambda x: keys(x, False), schema).select(F.col("class_id").alias("match"), "key", "at")
-    votes = asked.join(held, "key").where("query <> match").groupBy("query", "match", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count(F.lit(1)).alias("n"))
+    schema = "class_id long, key long, at long, length long"
+    named = [x.where(F.col("class_id").isNotNull()) for x in (queries, classes)]
+    asked = named[0].mapInArrow(lambda x: keys(x, True), schema).select(F.col("class_id").alias("query"), "key", F.col("at").alias("query_at"), F.col("length").alias("query_length"))
+    held = named[1].mapInArrow(lambda x: keys(x, False), schema).select(F.col("class_id").alias("match"), "key", "at", "length")
+    first, last = F.col("at") - F.col("query_at") - F.col("query_length") + 1, F.col("at") - F.col("query_at") + F.col("length") - 1
+    offset = F.col("offset")
+    meeting = F.least("length", "query_length", offset - F.col("first") + 1, F.col("last") - offset + 1)
+    met = asked.join(held, "key").where("query <> match").select("query", "match", "length", "query_length", first.alias("first"), last.alias("last"))
+    votes = met.select("*", F.explode(F.sequence("first", "last")).alias("offset")).groupBy("query", "match", "offset").agg(F.sum(meeting).alias("n"))
     best = votes.groupBy("query", "match").agg(F.max_by("offset", F.struct("n", -F.col("offset"))).alias("offset"))
-    left = queries.select(F.col("class_id").alias("query"), F.col("items").alias("query_items"))
-    right = classes.select(F.col("class_id").alias("match"), F.col("items").alias("match_items"))
+    left = named[0].select(F.col("class_id").alias("query"), F.col("items").alias("query_items"))
+    right = named[1].select(F.col("class_id").alias("match"), F.col("items").alias("match_items"))
     return best.join(left, "query").join(right, "match").mapInArrow(judge, "query long, match long, offset long, overlap long, bit_errors long")
 
 
@@ -206,9 +224,13 @@ def search(recordings: DataFrame, key: str, column: str, decode: Callable[[objec
     """Each recording with its fingerprint and class, and for the classes of rows whose id is divisible
     by `every` the classes that align with them; one row for each match, or one with null match.
 
-    Recordings without items, and those whose id is null, are in classes but neither ask nor match.
+    Recordings without items (null, empty, broken or too short media), and those whose id is null, are
+    in classes but neither ask nor match. Repeated rows give their rows again; an empty table gives an
+    empty one; other columns of the input, of any name, are not looked at. Fingerprints are made once
+    and written, since classes and members both read them.
     """
-    members = staged(class_members(fingerprints(recordings, key, column, decode)), "audio-classes")
+    prints = staged(fingerprints(recordings, key, column, decode), "audio-prints")
+    members = staged(class_members(prints), "audio-classes")
     usable = members.where("length(items) > 0 and id is not null")
     classes = usable.where("id = class_id").select("class_id", "items").dropDuplicates(["class_id"])
     asking = usable.where(F.col("id") % every == 0).select("class_id").distinct()
