@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quern.llm.common import ship, staged
+from quern.llm.common import partitions_for, ship, staged
 
 DIMENSIONS = 4
 CURVE_BITS = 15
@@ -229,7 +229,9 @@ def pack(documents: DataFrame, tokenizer_path: str, size: int = 2048, end_id: in
 
     Every row of documents counts: null and empty texts are a document of end_id alone, repeated rows
     are packed each, null ids are carried. Documents are range-sorted by curve key and then id, so
-    copies under one key spread over tasks. A task streams through its range and holds one sequence.
+    copies under one key spread over tasks. There are as many ranges as the input has shares of 32 MB,
+    so a task stays as large as it is; it streams through its range and holds one sequence. An empty
+    table gives an empty one; other columns of the input, of any name, are not looked at.
     pattern: of the tokenizer's pre-tokenizer, if known; it only saves time.
     sequence_id is unique over the result: the task's number above 40 bits, a count below.
     """
@@ -251,5 +253,5 @@ def pack(documents: DataFrame, tokenizer_path: str, size: int = 2048, end_id: in
         if rows := list(packer.finish()):
             yield made(rows)
 
-    ordered = coded.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", F.crc32("ids"))
+    ordered = coded.repartitionByRange(partitions_for(documents), "key", "doc_id").sortWithinPartitions("key", "doc_id", F.crc32("ids"))
     return ordered.select("doc_id", "ids").mapInArrow(run, PIECES)
