@@ -9,7 +9,6 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,23 +81,26 @@ class ByteBpe:
         return df.mapInArrow(run, T.StructType([*kept, T.StructField(to, T.BinaryType())]))
 
     def encode(self, documents: DataFrame) -> DataFrame:
-        """(doc_id, ids): ids as little-endian unsigned 32-bit integers."""
+        """(doc_id, ids): ids as little-endian unsigned 32-bit integers, none for a null or empty text.
+        A row for each row, repeated ones and those of null id too; no row for an empty table."""
         return self._map(documents.select("doc_id", "text"), "text", "ids", lambda coder, x: np.array(encode_text(coder, x), dtype="<u4").tobytes())
 
     def decode(self, encoded: DataFrame) -> DataFrame:
-        """(doc_id, ids, decoded): the raw bytes of packed ids; they need not be valid UTF-8."""
+        """(doc_id, ids, decoded): the raw bytes of packed ids; they need not be valid UTF-8. Null and
+        empty ids give no bytes; a row for each row, as in encode."""
         return self._map(encoded.select("doc_id", "ids"), "ids", "decoded", lambda coder, x: coder.decode_bytes(np.frombuffer(x or b"", dtype="<u4").tolist()))
 
     def count(self, text: Column) -> Column:
+        """How many ids a text has; 0 for null."""
         ranks, pattern = self.ranks, self.pattern
 
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             coder = encoding(ranks.value, pattern)
             for batch in batches:
-                yield pd.Series([len(encode_text(coder, x)) for x in batch], dtype="int64")
+                yield pa.array([len(encode_text(coder, x.as_py())) for x in batch], pa.int64())
 
-        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        return F.pandas_udf(run, "bigint")(text)
+        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return F.arrow_udf(run, "bigint")(text)
 
 
 def round_trip(documents: DataFrame, coder: ByteBpe) -> DataFrame:
