@@ -3,13 +3,20 @@
 Every string of `length` bytes has one anchor: of its 32-byte grams the one of least hash, the first
 of equals. Equal strings have equal anchors at equal places, so strings whose anchor occurs once in
 the corpus are not repeated, and equal strings meet in the partition of their anchor. That search is
-lossless. What is left is sorted by suffix, and equality is always decided on the bytes.
+lossless.
+
+What meets is then settled in three steps. Whole texts that are equal by SHA-256 are settled before
+the search. Around one anchor, contexts (all bytes of the strings that have it at one place) that are
+equal byte by byte are one. Different contexts of an anchor are cut into their strings, which are
+sorted by their bytes. Only around anchors that occur very often a string goes by its 128-bit XXH3
+digest instead, so there equality rests on the digest.
 """
 
 from __future__ import annotations
 
 import atexit
 import hashlib
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -18,10 +25,10 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import input_bytes, new_folder, partitions_for, ship, staged
+from quern.llm.common import new_folder, partitions_for, ship, spare, staged
 
 GRAM = 32
 #: Bytes hashed at a time; also the room for positions below a truncated hash.
@@ -108,10 +115,9 @@ def anchors(documents: list[bytes], length: int) -> tuple[np.ndarray, ...]:
 def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Ranks of the strings of `length` bytes at starts in sorted order; equal strings share a rank.
 
-    Deep-shallow: multikey quicksort partitions by symbols of eight bytes down to SHALLOW bytes. The
-    groups that then remain have long common prefixes; each goes into a blind trie, whose nodes skip
-    to the first symbol in which the group differs and branch there. All groups of a level are worked
-    on together.
+    Deep-shallow: a multikey quicksort with symbols of eight bytes goes to SHALLOW bytes, and groups
+    that agree so far, whose common prefixes are long, are ordered by blind tries. In both all groups
+    are worked on together, a step at a time.
     """
     word = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     for span in (1, 2, 4):
@@ -119,52 +125,89 @@ def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
     depths = [*range(0, length - 7, 8)]
     if length % 8:
         depths.append(max(0, length - 8))
+    depths = np.array(depths)
     short = np.uint64(64 - 8 * length) if length < 8 else None
 
-    def symbol(where: np.ndarray, depth: np.ndarray | int) -> np.ndarray:
-        got = word[starts[where] + depth]
+    def symbol(where: np.ndarray, level: np.ndarray | int) -> np.ndarray:
+        got = word[starts[where] + depths[level]]
         return got >> short if short is not None else got
 
     rank = np.zeros(len(starts), np.int64)
-    active = np.arange(len(starts))
-
-    def branch(active: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Split groups by key; return members of groups of two or more."""
-        order = np.lexsort((key, rank[active]))
-        active, key = active[order], key[order]
-        old = rank[active]
-        new = np.ones(len(active), bool)
-        new[1:] = (old[1:] != old[:-1]) | (key[1:] != key[:-1])
-        group = np.ones(len(active), bool)
-        group[1:] = old[1:] != old[:-1]
-        place = np.arange(len(active))
-        rank[active] = old + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(group, place, 0))
-        alone = new & np.append(new[1:], True)
-        return active[~alone]
-
-    for depth in depths:
-        if depth >= SHALLOW or not len(active):
-            break
-        active = branch(active, symbol(active, depth))
-    rest = np.array([d for d in depths if d >= SHALLOW])
-    while len(active) and len(rest):
-        order = np.argsort(rank[active], kind="stable")
-        active = active[order]
-        head = np.ones(len(active), bool)
-        head[1:] = rank[active][1:] != rank[active][:-1]
-        first = np.nonzero(head)[0]
-        leader = active[np.repeat(first, np.diff(np.append(first, len(active))))]
-        skip = np.full(len(active), len(rest))
-        for k in range(len(rest) - 1, -1, -1):
-            skip[symbol(active, rest[k]) != symbol(leader, rest[k])] = k
-        nearest = np.minimum.reduceat(skip, first)[np.cumsum(head) - 1]
-        open_ = nearest < len(rest)
-        active = active[open_]
-        if len(active):
-            active = branch(active, symbol(active, rest[nearest[open_]]))
+    shallow = int((depths < SHALLOW).sum())
+    active = quicksorted(symbol, rank, shallow)
+    blind_tries(symbol, rank, active, shallow, len(depths))
     return rank
 
 
+def split(rank: np.ndarray, members: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order members of groups (equal rank) by keys, the first the weightiest, and give each part a
+    rank of its own. Returns members in order, the order, and where a part begins."""
+    order = np.lexsort((*keys[::-1], rank[members]))
+    members = members[order]
+    old, place = rank[members], np.arange(len(members))
+    group = np.ones(len(members), bool)
+    group[1:] = old[1:] != old[:-1]
+    part = group.copy()
+    for key in keys:
+        part[1:] |= key[order][1:] != key[order][:-1]
+    rank[members] = old + np.maximum.accumulate(np.where(part, place, 0)) - np.maximum.accumulate(np.where(group, place, 0))
+    return members, order, part
+
+
+def quicksorted(symbol, rank: np.ndarray, levels: int) -> np.ndarray:
+    """Multikey quicksort: each group is parted in three by a pivot, the median of three of its
+    members' symbols; what equals the pivot goes a symbol deeper, the rest stays at its depth.
+    Returns members of groups of two or more that agree in `levels` symbols."""
+    active, level, done = np.arange(len(rank)), np.zeros(len(rank), np.int64), []
+    while len(active) and levels:
+        first = np.nonzero(np.append(True, rank[active][1:] != rank[active][:-1]))[0]
+        sizes = np.diff(np.append(first, len(active)))
+        key = symbol(active, level)
+        three = np.sort(np.stack([key[first], key[first + sizes // 2], key[first + sizes - 1]]), axis=0)
+        pivot = np.repeat(three[1], sizes)
+        side = (key > pivot).astype(np.int8) + (key >= pivot)
+        active, order, part = split(rank, active, side)
+        level = level[order] + (side[order] == 1)
+        alone = part & np.append(part[1:], True)
+        deep = ~alone & (level >= levels)
+        done.append(active[deep])
+        active, level = active[~alone & ~deep], level[~alone & ~deep]
+    found = np.concatenate(done) if done else active
+    return found[np.argsort(rank[found], kind="stable")]
+
+
+def blind_tries(symbol, rank: np.ndarray, active: np.ndarray, level: int, levels: int) -> None:
+    """Order groups that agree in `level` symbols, by a blind trie for each.
+
+    A round puts a group's strings on the path of its first one: each is compared with it once, from
+    the level known to be common, up to the first symbol that differs. The path has nodes only at
+    levels where some string leaves it; what lies between is skipped. Strings below the first come in
+    order of the level where they leave it, those above in reverse order; the ones that leave at one
+    node by one symbol are a subtrie, which the next round begins below that node. Strings that never
+    leave the path are equal to the first.
+    """
+    known = np.full(len(active), level)
+    while len(active):
+        first = np.nonzero(np.append(True, rank[active][1:] != rank[active][:-1]))[0]
+        leader = np.repeat(active[first], np.diff(np.append(first, len(active))))
+        leaves = np.full(len(active), levels)
+        on_path = np.arange(len(active))
+        for k in range(int(known.min()), levels):
+            here = on_path[known[on_path] <= k]
+            off = here[symbol(active[here], k) != symbol(leader[here], k)]
+            leaves[off] = k
+            on_path = on_path[leaves[on_path] == levels]
+        own = np.minimum(leaves, levels - 1)
+        mine, path = symbol(active, own), symbol(leader, own)
+        side = np.where(leaves == levels, 1, np.where(mine < path, 0, 2))
+        node = np.where(side == 2, -leaves, leaves)
+        active, order, part = split(rank, active, side, node, np.where(side == 1, 0, mine))
+        open_ = (side[order] != 1) & ~(part & np.append(part[1:], True))
+        active, known = active[open_], leaves[order][open_] + 1
+        # Strings of a last node and symbol are equal: nothing is left to compare.
+        active, known = active[known < levels], known[known < levels]
+
+
 def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """values cut at bounds (in items) into an Arrow column of binaries."""
     offsets = (bounds * values.dtype.itemsize).astype(np.int32)
@@ -172,7 +215,8 @@ def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def column_values(column: pa.Array, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+    """The packed items of a column of binaries, one after another; null as none."""
+    return np.frombuffer(b"".join(x or b"" for x in column.to_pylist()), kind)
 
 
 def batched(first: np.ndarray, times: np.ndarray, weight: np.ndarray, most: int) -> Iterator[np.ndarray]:
@@ -187,7 +231,9 @@ def batched(first: np.ndarray, times: np.ndarray, weight: np.ndarray, most: int)
 DIGEST = 16
 #: A row is a partition's share of what a task found: parallel arrays, packed.
 SENT = "part int, settled boolean, hash binary, rid binary, start binary, count binary, offset binary, doc binary, context binary"
-KINDS = {"hash": "<u8", "rid": "<i8", "start": "<u4", "count": "u1", "offset": "u1", "doc": "<i8"}
+#: The packed columns of such a row.
+PACKED = ("hash", "rid", "start", "count", "offset", "doc")
+KINDS = {"hash": "<u8", "rid": "<i8", "start": "<u4", "count": "u1", "offset": "u1", "doc": "<i8", "hot": "u1"}
 FIRST_ID = np.iinfo(np.int64).min
 
 
@@ -198,23 +244,23 @@ def sent(part: np.ndarray, settled: bool, columns: dict[str, np.ndarray], contex
     order = np.argsort(part, kind="stable")
     names, first = np.unique(part[order], return_index=True)
     bounds = np.append(first, len(part))
-    packed = [binaries(columns[k][order].astype(v), bounds) if k in columns else pa.array([b""] * len(names), pa.binary()) for k, v in KINDS.items()]
+    packed = [binaries(columns[k][order].astype(v), bounds) if k in columns else pa.array([b""] * len(names), pa.binary()) for k, v in ((x, KINDS[x]) for x in PACKED)]
     if contexts is None:
         joined = pa.array([b""] * len(names), pa.binary())
     else:
         squeeze = zstandard.ZstdCompressor(3).compress
         joined = pa.array([squeeze(b"".join([contexts[k] for k in order[a:b]])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([settled] * len(names)), *packed, joined], names=["part", "settled", *KINDS, "context"])
+    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([settled] * len(names)), *packed, joined], names=["part", "settled", *PACKED, "context"])
 
 
 def received(batches: Iterator[pa.RecordBatch]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], bytes]:
     """All of a partition's items: settled ones, open ones and the open ones' contexts."""
-    schema = pa.schema([("part", pa.int32()), ("settled", pa.bool_()), *((k, pa.binary()) for k in (*KINDS, "context"))])
+    schema = pa.schema([("part", pa.int32()), ("settled", pa.bool_()), *((k, pa.binary()) for k in (*PACKED, "context"))])
     rows = pa.Table.from_batches([x.cast(schema) for x in batches], schema)
     halves = []
     for settled in (True, False):
         some = rows.filter(pa.compute.equal(rows.column("settled"), settled))
-        halves.append({k: column_values(some.column(k), v) for k, v in KINDS.items()})
+        halves.append({k: column_values(some.column(k), KINDS[k]) for k in PACKED})
     return halves[0], halves[1], b"".join(map(zstandard.ZstdDecompressor().decompress, filter(None, some.column("context").to_pylist())))
 
 
@@ -241,17 +287,23 @@ def by_document(found: DataFrame, kinds: dict[str, str], parts: int) -> DataFram
         held = list(batches)
         if held:
             rid = np.concatenate([column_values(x.column("rid"), "<i8") for x in held])
-            made = packed_by("_rid", rid, rid, {k: np.concatenate([column_values(x.column(k), v) for x in held]) for k, v in kinds.items()})
+            columns = {k: np.concatenate([column_values(x.column(k), v) for x in held]) for k, v in kinds.items()}
+            made = packed_by("_rid", rid, rid, {k: v if len(v) else np.zeros(len(rid), v.dtype) for k, v in columns.items()})
             yield made.select(["_rid", *kinds])
 
     return found.repartition(parts, "_group").mapInArrow(gather, "_rid long, " + ", ".join(f"{k} binary" for k in kinds))
 
 
+#: The database of bucketed tables. Each is dropped when its application ends; see drop_orphans.
+DATABASE = "quern_work"
+
+
 def stored(documents: DataFrame, buckets: int) -> DataFrame:
     """documents with a unique _rid, written once in the shared folder, bucketed by it: later joins by
-    _rid then move only their other side."""
+    _rid then move only their other side. Buckets need a catalog entry, which is in DATABASE."""
     spark = documents.sparkSession
-    name = f"quern_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE}")
+    name = f"{DATABASE}.t{uuid.uuid4().hex}"
     numbered = documents.withColumn("_rid", F.monotonically_increasing_id())
     numbered.write.option("compression", "zstd").bucketBy(buckets, "_rid").option("path", new_folder(spark, "suffix-documents")).saveAsTable(name)
 
@@ -263,10 +315,31 @@ def stored(documents: DataFrame, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+def drop_orphans(spark: SparkSession, age: float = 7 * 86400.0) -> list[str]:
+    """Drop the tables of applications that ended without dropping them: those in DATABASE that have
+    stood for `age` seconds, with their files. Only a persistent catalog can have any."""
+    if not spark.catalog.databaseExists(DATABASE):
+        return []
+    gone = []
+    for table in spark.catalog.listTables(DATABASE):
+        facts = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {DATABASE}.{table.name}").collect()}
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(facts["Location"])
+        system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.exists(target) or system.getFileStatus(target).getModificationTime() / 1000 <= time.time() - age:
+            spark.sql(f"DROP TABLE {DATABASE}.{table.name}")
+            system.delete(target, True)
+            gone.append(table.name)
+    return gone
+
+
+#: What is kept of a run of windows.
+RUN = ("start", "count", "offset", "hash")
+
+
 def repeated_anchors(documents: DataFrame, length: int, parts: int, hot: int) -> DataFrame:
-    """(_group, rid, start, count, offset): packed runs of windows whose anchor's hash occurs twice or more.
+    """(_group, rid, start, count, offset, hash): packed runs of windows whose anchor's hash occurs twice or more.
 
-    Rows of _group -1 hold in `start` the hashes that occur `hot` times or more. A task sends one item
+    Rows of _group -1 hold in `hash` the hashes that occur `hot` times or more. A task sends one item
     for each hash, with the number of its occurrences, however many it has seen.
     """
 
@@ -278,13 +351,13 @@ def repeated_anchors(documents: DataFrame, length: int, parts: int, hot: int) ->
             rid, start, count, offset, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
             _, first, inverse, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
             again = times[inverse] > 1
-            columns = {"rid": rid, "start": start, "count": count, "offset": offset}
+            columns = {"rid": rid, "start": start, "count": count, "offset": offset, "hash": hashes}
             known = {k: v[again] for k, v in columns.items()}
             one = np.zeros(len(rid), bool)
             one[first] = True
             # What occurs here twice is settled and goes anywhere; its hash goes on once, marked by a count of 0.
             columns["count"] = np.where(again, 0, count)
-            columns |= {"hash": hashes, "doc": times[inverse]}
+            columns |= {"doc": times[inverse]}
             rest = {k: v[one] for k, v in columns.items()}
             for x in (sent(known["rid"] % parts, True, known), sent((rest["hash"] % np.uint64(parts)).astype(np.int64), False, rest)):
                 if x is not None:
@@ -308,26 +381,61 @@ def repeated_anchors(documents: DataFrame, length: int, parts: int, hot: int) ->
         again = (times[inverse] > 1) & (open_["count"] > 0)
         common = names[np.bincount(inverse, open_["doc"], len(names)) >= hot]
         if len(common):
-            yield pa.RecordBatch.from_arrays([pa.array([-1]), *map(pa.array, ([b""], [common.tobytes()], [b""], [b""]))], names=["_group", "rid", "start", "count", "offset"])
-        columns = {k: np.concatenate([settled[k], open_[k][again]]) for k in ("rid", "start", "count", "offset")}
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), *map(pa.array, ([b""], [b""], [b""], [b""], [common.astype("<u8").tobytes()]))], names=["_group", "rid", *RUN])
+        columns = {k: np.concatenate([settled[k], open_[k][again]]) for k in ("rid", *RUN)}
         if len(columns["rid"]):
             yield by_group(columns.pop("rid"), columns)
 
     exchanged = documents.select("_rid", "text").mapInArrow(find, SENT).repartitionById(parts, "part")
-    return exchanged.mapInArrow(match, "_group long, rid binary, start binary, count binary, offset binary")
+    return exchanged.mapInArrow(match, RUNS)
+
+
+RUNS = "_group long, rid binary, start binary, count binary, offset binary, hash binary"
+#: Hot anchors up to which their list is broadcast (eight bytes each); more are joined to the runs.
+HOT_BROADCAST = 1 << 20
+
+
+def marked_hot(runs: DataFrame, hot_broadcast: int, parts: int) -> tuple[DataFrame, object | None]:
+    """runs with a packed flag `hot` of each, and the hot hashes to broadcast if there are few enough
+    of them (the flags are then 0). Otherwise runs are unpacked and joined to the hot hashes, where
+    adaptive execution splits the runs of an anchor that fills a partition."""
+    spark, listed = runs.sparkSession, runs.where("_group = -1").select("hash")
+    named = runs.where("_group >= 0")
+    count = listed.agg(F.sum(F.length("hash"))).first()[0] or 0
+    if count // 8 <= hot_broadcast:
+        found = np.frombuffer(b"".join(r["hash"] for r in listed.collect()), "<u8")
+        return named.withColumn("hot", F.lit(None).cast("binary")), spark.sparkContext.broadcast(np.sort(found))
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {k: column_values(batch.column(k), KINDS[k]) for k in ("rid", *RUN)}
+            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64) if k == "hash" else v.astype(np.int64)) for k, v in columns.items()], names=list(columns))
+
+    def repacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                columns = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in (*RUN, "hot")}
+                yield by_group(batch.column("rid").to_numpy(), {k: v.view(np.uint64) if k == "hash" else v.astype(KINDS[k]) for k, v in columns.items()})
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(column_values(batch.column("hash"), "<i8"))], names=["hash"])
+
+    single = named.mapInArrow(unpacked, "rid long, start long, count long, offset long, hash long")
+    often = listed.mapInArrow(hashes, "hash long").withColumn("hot", F.lit(1))
+    joined = single.join(often, "hash", "left").select("rid", *RUN, F.coalesce("hot", F.lit(0)).cast("long").alias("hot"))
+    return joined.mapInArrow(repacked, f"{RUNS}, hot binary"), None
 
 
-def repeats(documents: DataFrame, runs: DataFrame, length: int, parts: int) -> DataFrame:
+def repeats(documents: DataFrame, runs: DataFrame, length: int, parts: int, hot_broadcast: int = HOT_BROADCAST) -> DataFrame:
     """(_group, rid, begin, end): packed runs of bytes covered by strings that also start earlier.
 
     documents: _rid, doc_id, text, bucketed into `parts` by _rid; runs: of repeated_anchors. A run's
     bytes, its context, go to the partition of its anchor, one for each task and content. Around a
     hot anchor contexts may differ at every occurrence, so there each window goes alone, as its
     128-bit digest, to the partition of the digest: no partition gathers what follows a hot passage.
-    The hot anchors are broadcast; there are at most as many as anchors over the threshold.
     """
-    common = np.frombuffer(b"".join(r["start"] for r in runs.where("_group = -1").select("start").collect()), "<u8")
-    shared = documents.sparkSession.sparkContext.broadcast(np.sort(common))
+    named, shared = marked_hot(runs, hot_broadcast, parts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[bytes, tuple[int, int, int]] = {}
@@ -357,13 +465,12 @@ def repeats(documents: DataFrame, runs: DataFrame, length: int, parts: int) -> D
                 best[content] = at
                 later.append((known[1], known[2], count))
 
-        hot = shared.value
         for batch in batches:
-            for doc_id, rid, text, *packed in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "_rid", "text", "start", "count", "offset")), strict=True):
+            for row in zip(*(batch.column(k) for k in ("doc_id", "_rid", "text", "start", "count", "hash", "hot")), strict=True):
+                doc_id, rid, text, *packed = (x.as_py() for x in row)
                 data, doc = (text or "").encode(), FIRST_ID if doc_id is None else doc_id
-                starts, counts, offsets = (np.frombuffer(x, KINDS[k]).astype(np.int64) for k, x in zip(("start", "count", "offset"), packed, strict=True))
-                keys = gram_hashes(np.frombuffer(data, np.uint8))[starts + offsets]
-                spread = np.isin(keys, hot) if len(hot) else np.zeros(len(keys), bool)
+                starts, counts, keys, flags = (np.frombuffer(x or b"", KINDS[k]) for k, x in zip(("start", "count", "hash", "hot"), packed, strict=True))
+                spread = flags.astype(bool) if shared is None else np.isin(keys, shared.value) if len(shared.value) else np.zeros(len(keys), bool)
                 for start, count, key, single in zip(starts.tolist(), counts.tolist(), keys.tolist(), spread.tolist(), strict=True):
                     if single:
                         for k in range(start, start + count):
@@ -424,7 +531,7 @@ def repeats(documents: DataFrame, runs: DataFrame, length: int, parts: int) -> D
         if len(rid):
             yield by_group(rid, {"begin": np.concatenate(starts).astype("<u4"), "end": np.concatenate(ends).astype("<u4")})
 
-    gathered = by_document(runs.where("_group >= 0"), {k: KINDS[k] for k in ("start", "count", "offset")}, parts)
+    gathered = by_document(named, {k: KINDS[k] for k in ("start", "count", "hash", "hot")}, parts)
     joined = documents.select("_rid", F.col("doc_id").cast("long"), "text").join(gathered.hint("shuffle_hash"), "_rid")
     return joined.mapInArrow(cut, SENT).repartitionById(parts, "part").mapInArrow(judge, "_group long, rid binary, begin binary, end binary")
 
@@ -441,27 +548,29 @@ def merged(begins: bytes | None, ends: bytes | None) -> tuple[np.ndarray, np.nda
     return begin[new], reach[np.append(np.nonzero(new)[0][1:] - 1, len(begin) - 1)]
 
 
-def without_repeats(documents: DataFrame, length: int = 100, hot: int = 1000) -> DataFrame:
+def without_repeats(documents: DataFrame, length: int = 100, hot: int = 1000, hot_broadcast: int = HOT_BROADCAST) -> DataFrame:
     """documents and a struct _kept: bytes that stay, n_bytes, n_removed, n_spans.
 
     Texts are whole UTF-8 bytes, null as empty. A byte goes if a string of `length` bytes that covers
     it also starts earlier in the same document or anywhere in an earlier one; documents are ordered
-    by doc_id, null first, rows of one id by their place in the table. An empty table gives an empty one.
-    Anchors that occur `hot` times or more, or in more than a 100,000th part of all places, are
-    spread by window.
+    by doc_id, null first, rows of one id by their place in the table. An empty table gives an empty
+    one. Input columns of any name are kept, but for one called _kept, which is replaced.
+    Anchors that occur `hot` times or more are spread by window, whatever the size of the input, so a
+    partition never holds more than that many contexts of one anchor from one task's share.
     """
     spark = documents.sparkSession
     ship(spark)
     parts = partitions_for(documents)
-    rows = stored(documents, parts)
+    others = [c for c in documents.columns if c not in ("doc_id", "text", "_kept")]
+    renamed = dict(zip(others, (f"_c{k}" for k in range(len(others))), strict=True))
+    rows = stored(documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), *(F.col(f"`{k}`").alias(v) for k, v in renamed.items())), parts)
     # Of equal texts all but the first go whole, so only the first are searched.
-    order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)), "_rid")
-    firsts = rows.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256)).agg(F.min(order)["_rid"].alias("_rid"))
+    order = F.struct(F.coalesce(F.col("_id").cast("long"), F.lit(FIRST_ID)), "_rid")
+    firsts = rows.groupBy(F.sha2(F.coalesce("_text", F.lit("")), 256)).agg(F.min(order)["_rid"].alias("_rid"))
     leads = staged(firsts.select("_rid"), "suffix-firsts").withColumn("_first", F.lit(True))
-    searched = rows.join(leads.hint("shuffle_hash"), "_rid", "left_semi")
-    threshold = max(hot, input_bytes(documents) // (length // 7 * 100_000))
-    runs = staged(repeated_anchors(searched, length, parts, threshold), "suffix-runs")
-    spans = by_document(repeats(searched, runs, length, parts), {"begin": "<u4", "end": "<u4"}, parts)
+    searched = rows.join(leads.hint("shuffle_hash"), "_rid", "left_semi").select("_rid", F.col("_id").alias("doc_id"), F.col("_text").alias("text"))
+    runs = staged(repeated_anchors(searched, length, parts, hot), "suffix-runs")
+    spans = by_document(repeats(searched, runs, length, parts, hot_broadcast), {"begin": "<u4", "end": "<u4"}, parts)
     spans = spans.select("_rid", F.col("begin").alias("_begin"), F.col("end").alias("_end"))
 
     def keep(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
@@ -480,11 +589,12 @@ def without_repeats(documents: DataFrame, length: int = 100, hot: int = 1000) ->
     kept = F.pandas_udf(keep, "bytes binary, n_bytes long, n_removed long, n_spans long")
     judged = rows.join(leads.hint("shuffle_hash"), "_rid", "left").join(spans.hint("shuffle_hash"), "_rid", "left")
     first = F.coalesce("_first", F.lit(False))
-    return judged.withColumn("_kept", kept("text", first, "_begin", "_end")).drop("_rid", "_first", "_begin", "_end")
+    back = {"doc_id": "_id", "text": "_text"} | renamed
+    return judged.withColumn("_kept", kept("_text", first, "_begin", "_end")).select(*(F.col(back[c]).alias(c) for c in documents.columns if c in back), "_kept")
 
 
-def digests(documents: DataFrame, hot: int = 1000) -> DataFrame:
-    done = without_repeats(documents.select("doc_id", "text"), hot=hot)
+def digests(documents: DataFrame, **options: int) -> DataFrame:
+    done = without_repeats(documents.select("doc_id", "text"), **options)
     return done.select("doc_id", "_kept.n_bytes", "_kept.n_removed", "_kept.n_spans", F.sha2("_kept.bytes", 256).alias("kept_sha256"))
 
 

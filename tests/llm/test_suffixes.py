@@ -48,8 +48,8 @@ def test_against_definition(spark):
     data.sort(key=lambda x: (x[0] is not None, x[0]))
     want = [(i, *x) for (i, _), x in zip(data, suffixes.brute_force([(t or "").encode() for _, t in data]), strict=True)]
     assert run(spark, data) == want
-    for hot in (2, 5):
-        assert run(spark, data, hot=hot) == want
+    for options in ({"hot": 2}, {"hot": 5}, {"hot": 2, "hot_broadcast": 0}, {"hot": 5, "hot_broadcast": 0}):
+        assert run(spark, data, **options) == want
     assert sum(x[2] for x in want) > 5000
 
 
@@ -58,3 +58,36 @@ def test_repeated_rows_and_empty_table(spark):
     got = run(spark, [(1, text), (1, text), (2, "other")])
     assert sorted(x[2] for x in got) == [0, 0, len(text)]
     assert run(spark, []) == []
+
+
+def test_blind_tries_order_long_common_prefixes():
+    """Many strings that agree far beyond the shallow depth and differ at places of their own."""
+    random = np.random.default_rng(3)
+    base = random.integers(0, 256, 100).astype(np.uint8)
+    strings = []
+    for _ in range(600):
+        one = base.copy()
+        for at in random.choice(np.arange(24, 100), random.integers(0, 3), replace=False):
+            one[at] = random.integers(0, 4)
+        strings.append(one.tobytes())
+    data, starts = np.frombuffer(b"".join(strings), np.uint8), np.arange(600) * 100
+    place = {x: k for k, x in reversed(list(enumerate(sorted(strings))))}
+    assert suffixes.suffix_ranks(data, starts, 100).tolist() == [place[x] for x in strings]
+    assert suffixes.suffix_ranks(data[:0], starts[:0], 100).tolist() == []
+
+
+def test_one_anchor_with_many_contexts(spark):
+    """A short passage before 20,000 different continuations, half of which come twice."""
+    passage = "a passage that stands before many different continuations and holds the least hash of them all maybe "
+    data = [(k, f"{k % 15_000:06d} own words {passage}{k % 10_000:06d} and then something else that goes on for a while, for long enough to make strings of its own {k % 10_000:06d}") for k in range(20_000)]
+    want = [(i, *x) for (i, _), x in zip(data, suffixes.brute_force([t.encode() for _, t in data]), strict=True)]
+    for options in ({}, {"hot_broadcast": 0}, {"hot": 1 << 40}):
+        assert run(spark, data, **options) == want
+
+
+def test_columns_of_any_name_are_kept(spark):
+    text = "the same words of a text that is longer than a hundred bytes, so that the second row loses all of it, of course"
+    df = spark.createDataFrame([(1, text, 5), (2, text, 6)], "doc_id long, text string, _rid int").selectExpr("_rid", "text", "doc_id", "7 as _first", "8 as _begin", "9 as _end", "10 as _id", "11 as _text", "12 as `a.b`", "13 as _kept")
+    made = suffixes.without_repeats(df)
+    assert made.columns == df.columns
+    assert sorted((r._rid, r._first, r._id, r["a.b"], r._kept.n_removed) for r in made.collect()) == [(5, 7, 10, 12, 0), (6, 7, 10, 12, len(text))]
