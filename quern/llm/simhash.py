@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ship, staged
+from quern.llm.common import ship, spare, staged
 from quern.llm.components import components
 
 BITS = 64
@@ -113,19 +113,32 @@ def links(points: np.ndarray, radius: int, block: int = 2048) -> tuple[np.ndarra
 
 
 def _block_links(points: np.ndarray, radius: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Union of all close pairs among points, by strips so that memory stays at block squared."""
-    label = np.arange(len(points))
+    """Edges that join all close pairs among points, by strips so that memory stays at block squared:
+    of each two blocks a star for each set of points that their close pairs join."""
+    left, right = [], []
     for a in range(0, len(points), block):
         for b in range(a, len(points), block):
             near = np.bitwise_count(points[a : a + block, None] ^ points[None, b : b + block]) <= radius
             if a == b:
                 np.fill_diagonal(near, False)
-            for i in np.nonzero(near.any(1))[0]:
-                found = np.unique(np.append(label[b : b + block][near[i]], label[a + i]))
-                if len(found) > 1:
-                    label[np.isin(label, found)] = found[0]
-    linked = np.nonzero(label != np.arange(len(points)))[0]
-    return label[linked], linked
+            rows, columns = (np.nonzero(near.any(k))[0] for k in (1, 0))
+            if not len(rows):
+                continue
+            near = near[np.ix_(rows, columns)]
+            far = len(points)
+            one, two = rows + a, columns + b
+            while True:  # the least label spreads from one side to the other and back
+                new_two = np.minimum(two, np.where(near, one[:, None], far).min(0))
+                new_one = np.minimum(one, np.where(near, new_two[None, :], far).min(1))
+                if (new_one == one).all() and (new_two == two).all():
+                    break
+                one, two = new_one, new_two
+            left += [one, two]
+            right += [rows + a, columns + b]
+    if not left:
+        return np.zeros(0, int), np.zeros(0, int)
+    first, second = np.concatenate(left), np.concatenate(right)
+    return first[first != second], second[first != second]
 
 
 HALF = np.uint64(32)
@@ -201,9 +214,11 @@ def digests(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """documents without all but one row of each component of found (near_duplicates of documents if
     it is not given): the one of the smallest doc_id (null after all others), and of rows that share
-    it the one of the smallest hash of its text. Of rows equal in both one stays."""
+    it the one of the smallest hash of its text. Of rows equal in both one stays. Null texts are like
+    empty ones; an empty table stays empty; input columns of any name are kept."""
+    key, crc = spare(documents, "key", "crc")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "_crc")
     found = near_duplicates(documents) if found is None else found
-    leaders = found.groupBy("component").agg(F.min(order).alias("leader")).select("leader._key", "leader._crc")
-    keyed = documents.withColumns(row_keys())
-    return keyed.join(leaders, ["_key", "_crc"], "left_semi").dropDuplicates(["_key", "_crc"]).drop("_key", "_crc")
+    leaders = found.groupBy("component").agg(F.min(order).alias("leader")).select(F.col("leader._key").alias(key), F.col("leader._crc").alias(crc))
+    keyed = documents.withColumns(dict(zip((key, crc), row_keys().values(), strict=True)))
+    return keyed.join(leaders, [key, crc], "left_semi").dropDuplicates([key, crc]).drop(key, crc)

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from quern.llm import quality, suffixes
-from tests.llm.test_text_ops import brute_components, brute_fingerprint
+from tests.llm.test_jaccard import brute_kept
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -31,10 +31,9 @@ def test_stages(spark, tmp_path):
     want = ["\n".join(x for x in r[1].split("\n") if x.strip(" \t\n\x0b\x0c\r").encode().lower() not in common) for r in rows(good)]
     assert [r[1] for r in rows(lined)] == want and [r[4] for r in rows(lined)] == list(map(len, want))
 
-    fps = [(r[0], brute_fingerprint(r[1])) for r in rows(lined)]
-    leader = brute_components(fps)
-    assert [r[0] for r in rows(single)] == sorted(set(leader.values()))
-    assert rows(single) == [r for r in rows(lined) if r[0] in set(leader.values())]
+    # The stage takes five words and a similarity of 0.8, not the fingerprints of op3's query.
+    leaders = set(brute_kept([(r[0], r[1]) for r in rows(lined)]))
+    assert rows(single) == [r for r in rows(lined) if r[0] in leaders] and {1, 6} <= leaders and not {177, 145} & leaders
 
     brute = suffixes.brute_force([r[1].encode() for r in rows(single)])
     assert [len(a[1].encode()) - n for a, (_, n, _, _) in zip(rows(single), brute, strict=True)] == [len(r[1].encode()) for r in rows(cut)]
@@ -54,11 +53,32 @@ def test_run_gives_the_last_stage(spark):
 
 
 def test_stages_take_odd_documents(spark):
+    """Nulls, empty texts, repeated rows, a text that repeats itself, and columns of names that the
+    operators use inside; then an empty table."""
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    odd = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "word " * 400, None, None, 2000), (3, "é" * 150 + " own words", "fr", "s", 1)]
-    for data in ([], odd):
-        for _, stage in corpus_pipeline.STAGES:
-            made = stage(spark, spark.createDataFrame(data, schema), FOLDER)
-            assert made.count() >= 0
-            if stage is not corpus_pipeline.pack:
-                assert tuple(made.columns) == corpus_pipeline.COLUMNS
+    odd = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "word " * 400, None, None, 2000), (3, "é" * 150 + " own words", "fr", "s", 160)]
+    extra = [f"{k} as {x}" for k, x in enumerate(("_key", "_crc", "_rid", "_first", "_begin", "_kept", "_clean", "_quality", "_lang", "n_lines", "n_dropped", "ids", "key"))]
+    named = dict(corpus_pipeline.STAGES)
+    texts = [t or "" for _, t, *_ in odd]
+    brute = suffixes.brute_force([t.encode() for t in texts])
+    want = {
+        "quality rules": [],
+        "line dedup": [(i, t, x, s, len(t)) for (i, _, x, s, _), t in zip(odd, texts, strict=True)],
+        "near-dedup": odd[2:],
+        "suffix-array dedup": None,
+    }
+    for name, stage in named.items():
+        docs = spark.createDataFrame(odd, schema).selectExpr("*", *extra)
+        made = stage(spark, docs, FOLDER)
+        if name == "packing":
+            pieces = made.collect()
+            assert Counter(r.doc_id for r in pieces if r.start == 0) == {None: 1, 1: 2, 2: 1, 3: 1} and sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+        else:
+            assert tuple(made.columns) == corpus_pipeline.COLUMNS
+            got = made.collect()
+            if want[name] is None:
+                assert sorted(len(r.text.encode()) for r in got) == sorted(size - gone for size, gone, _, _ in brute) and sorted(r.doc_id or 0 for r in got) == [0, 1, 1, 2, 3]
+                assert all(r.n_chars == len(r.text) for r in got)
+            else:
+                assert sorted(map(tuple, got), key=str) == sorted(want[name], key=str)
+        assert stage(spark, spark.createDataFrame([], schema), FOLDER).count() == 0

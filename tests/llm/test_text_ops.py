@@ -115,6 +115,37 @@ def test_simhash(spark):
     assert sorted((x.doc_id or 0, x.text or "") for x in simhash.keep_one(rows(spark, both)).collect()) == sorted({(i or 0, t or "") for i, t in both})
 
 
+def test_keep_one_keeps_columns_of_any_name(spark):
+    df = rows(spark, [(2, "some words of a text"), (1, "some words of a text"), (3, "quite other words, which are alone")]).selectExpr("5 as _key", "*", "6 as _crc", "7 as component", "8 as _fp")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted((r._key, r.doc_id, r._crc, r.component, r._fp) for r in kept.collect()) == [(5, 1, 6, 7, 8), (5, 3, 6, 7, 8)]
+
+
+def test_block_links_join_all_close_points():
+    random = np.random.default_rng(4)
+    base = random.integers(0, 1 << 63, 30, dtype=np.uint64)
+    points = np.unique(base[random.integers(0, 30, 900)] ^ (np.uint64(1) << random.integers(0, 64, 900).astype(np.uint64)) ^ (np.uint64(1) << random.integers(0, 64, 900).astype(np.uint64)))
+    points = random.permutation(points)
+    for block in (2048, 100):
+        left, right = simhash._block_links(points, 3, block)
+        parent = list(range(len(points)))
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for a, b in zip(left.tolist(), right.tolist(), strict=True):
+            parent[find(a)] = find(b)
+        of = brute_components([(k, int(x)) for k, x in enumerate(points)])
+        got, want = defaultdict(set), defaultdict(set)
+        for k, x in enumerate(points.tolist()):
+            got[find(k)].add(k)
+            want[of[x]].add(k)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_near_links_of_clustered_fingerprints(spark):
     random = np.random.default_rng(0)
     centres = random.integers(0, 1 << 63, 40, dtype=np.uint64)
