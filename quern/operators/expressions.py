@@ -6,7 +6,9 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.errors import SqlError
@@ -153,11 +155,17 @@ def _in_query(expr: n.InQuery, context: Context) -> Typed:
     shared = unified([value.family, item.family])
     shared = Family.INT if shared is Family.NULL else shared
     column, rows = cast(value, shared), inner.df.select(cast(item, shared).alias(inner.fields[0].internal))
+    name = inner.fields[0].internal
+    if context.filtering and expr.negated and not _can_be_broadcast(rows):
+        # Catalyst's null-aware anti join sends the whole set to every task, however large it is. This
+        # says the same by a plain anti join and one row about the set's nulls.
+        about = rows.select(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col(name).isNull()).alias("nulls"))).scalar()
+        match = rows.where(F.col(name) == _seen_from_inside(column)).exists()
+        return Typed(~match & (about["nulls"] == 0) & (column.isNotNull() | (about["n"] == 0)), Family.BOOL)
     if context.filtering:
         found = column.isin(rows)
         return Typed(~found if expr.negated else found, Family.BOOL)
     # Where no row is selected by it, IN must be null, not false, when a null leaves it open.
-    name = inner.fields[0].internal
     matches = rows.where(F.col(name) == _seen_from_inside(column)).select(F.count(F.lit(1))).scalar()
     nulls = rows.where(F.col(name).isNull()).select(F.count(F.lit(1))).scalar()
     unknown = F.lit(None).cast("boolean")
@@ -165,6 +173,17 @@ def _in_query(expr: n.InQuery, context: Context) -> Typed:
     return Typed(~found if expr.negated else found, Family.BOOL)
 
 
+def _can_be_broadcast(rows: DataFrame) -> bool:
+    """Whether Catalyst expects rows to stay under the session's limit for broadcasts. A set that
+    depends on the outer row has no plan of its own; it is joined by what it depends on."""
+    try:
+        plan = rows._jdf.queryExecution()
+        size, limit = plan.optimizedPlan().stats().sizeInBytes(), plan.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
+    except (AnalysisException, Py4JJavaError):
+        return True
+    return int(str(size)) <= int(limit)
+
+
 def _seen_from_inside(column: Column) -> Column:
     return column.outer()
 

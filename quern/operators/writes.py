@@ -134,9 +134,19 @@ class Writer:
         return F.get(F.array(*(F.lit(v).cast("bigint") for v in numbers)), F.col("__pos"))
 
     def compacted(self, info: TableInfo) -> TableInfo:
+        """Beyond FOLDERS folders the last ones become one, as many as it takes until the one before is
+        at least twice as large. So a row is written again as often as the table doubles, not with
+        every so many inserts."""
         if len(info.folders) <= FOLDERS:
             return info
-        return replace(info, folders=(self.store.write(clustered(self.store.read(info), info)),))
+        sizes = [self.store.files.size(f"data/{f}") for f in info.folders]
+        first = len(sizes) - 1
+        while first and sizes[first - 1] < 2 * sum(sizes[first:]):
+            first -= 1
+        if first == len(sizes) - 1:
+            return info
+        merged = self.store.write(clustered(self.store.read(info, info.folders[first:]), info))
+        return replace(info, folders=(*info.folders[:first], merged))
 
     # constraints
 

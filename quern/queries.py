@@ -155,6 +155,10 @@ SCRIPTS: dict[str, tuple[str, str]] = {
     "information_schema_tables": (f"{ORDERS} CREATE TABLE t (a INT); SELECT table_schema, table_name, column_count FROM information_schema.tables", "SELECT * FROM (VALUES ('main', 'o', 4::BIGINT), ('main', 't', 1)) AS t(table_schema, table_name, column_count)"),
     "information_schema_columns": (f"{ORDERS} SELECT COLUMN_NAME, ORDINAL_POSITION, COLUMN_DEFAULT, IS_NULLABLE, DATA_TYPE FROM information_schema.columns WHERE TABLE_NAME = 'o'", "SELECT * FROM (VALUES ('k', 0::BIGINT, NULL, 'YES', 'INT'), ('cust', 1, NULL, 'NO', 'INT'), ('price', 2, NULL, 'YES', 'REAL'), ('status', 3, '''new''', 'YES', 'TEXT')) AS t(COLUMN_NAME, ORDINAL_POSITION, COLUMN_DEFAULT, IS_NULLABLE, DATA_TYPE)"),
     "pages": (f"{ORDERS} {COPY} SELECT page_type, MIN(page_id) >= 0 AS ok FROM __pages GROUP BY page_type", "SELECT * FROM (VALUES ('header', 1::BIGINT), ('btree_leaf', 1)) AS t(page_type, ok)"),
+    "order_by_rowids": (
+        "CREATE TABLE t (id INTEGER PRIMARY KEY, k INT, v REAL); INSERT INTO t (k, v) SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0.0 ORDER BY c_acctbal DESC, c_custkey; SELECT id, k, v FROM t",
+        "SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS id, c_custkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal > 0",
+    ),
     "hidden_columns": (f"{ORDERS} {COPY} SELECT COUNT(*) AS c FROM o WHERE __rowid = k AND __slotid >= 0 AND __pageid > 0", "SELECT COUNT(*) AS c FROM orders"),
 }
 
@@ -180,5 +184,15 @@ def _script(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES = {k: _select(text) for k, (text, _) in SELECTS.items()} | {k: _script(text) for k, (text, _) in SCRIPTS.items()}
-ORACLE_SQL = {k: expected or text for k, (text, expected) in SELECTS.items()} | {k: expected for k, (_, expected) in SCRIPTS.items()}
+def page_slots(spark: SparkSession, folder: str) -> DataFrame:
+    """The slots of a table's only data file, whose page number is looked up first."""
+    engine = Engine(spark).attach(folder)
+    engine.script("CREATE TABLE t (k INT, name TEXT); INSERT INTO t SELECT n_nationkey, n_name FROM nation")
+    ((page,),) = engine.execute("SELECT page_id FROM __pages WHERE page_type = 'btree_leaf'").rows()
+    return engine.sql(f"SELECT slot_idx, rowid - slot_idx AS above, data_len > 0 AS filled, is_overflow FROM __page_slots({page})")
+
+
+QUERIES = {k: _select(text) for k, (text, _) in SELECTS.items()} | {k: _script(text) for k, (text, _) in SCRIPTS.items()} | {"page_slots": page_slots}
+ORACLE_SQL = {k: expected or text for k, (text, expected) in SELECTS.items()} | {k: expected for k, (_, expected) in SCRIPTS.items()} | {
+    "page_slots": "SELECT range AS slot_idx, 1::BIGINT AS above, 1::BIGINT AS filled, 0::BIGINT AS is_overflow FROM range(25)"
+}

@@ -63,6 +63,10 @@ class Files:
         """When a file or folder last changed, in seconds."""
         return self._system.getFileStatus(self._make(self.path(name))).getModificationTime() / 1000
 
+    def size(self, name: str) -> int:
+        """Bytes of all files in a folder."""
+        return self._system.getContentSummary(self._make(self.path(name))).getLength()
+
     def exists(self, name: str) -> bool:
         return self._system.exists(self._make(self.path(name)))
 

@@ -141,6 +141,45 @@ def test_many_inserts_are_compacted(spark, tmp_path):
     assert len(engine.store.table("t").folders) < 6 and engine.sql("SELECT COUNT(*) FROM t").first()[0] == 18
 
 
+def test_only_small_folders_are_merged(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "db"))
+    engine.attach(FOLDER).script("CREATE TABLE t (a INT); INSERT INTO t SELECT l_orderkey * l_partkey FROM lineitem;")
+    large = engine.store.table("t").folders[0]
+    engine.script("INSERT INTO t VALUES (1);" * 17)
+    folders = engine.store.table("t").folders
+    assert folders[0] == large and len(folders) < 6 and engine.sql("SELECT COUNT(*) FROM t").first()[0] == 6017
+
+
+def test_select_runs_when_its_rows_are_asked_for(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "db"))
+    engine.script("CREATE TABLE t (a INT); INSERT INTO t VALUES (1)")
+    first, wrong = engine.execute("SELECT a FROM t"), engine.execute("SELECT a + 9223372036854775807 FROM t")
+    engine.execute("UPDATE t SET a = 2")
+    assert first._rows is None and first.df.count() == 1 and first.rows() == [(1,)]
+    assert (wrong.kind, wrong.code, wrong.rows()) == ("error", "InvalidNumber", [])
+
+
+def test_not_in_of_a_large_set_is_not_broadcast(spark):
+    engine = Engine(spark).attach(FOLDER)
+    texts = [
+        "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000.0)",
+        "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 7) FROM orders)",
+        "SELECT c_custkey FROM customer WHERE nullif(c_custkey, 5) NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000.0)",
+        "SELECT c_custkey FROM customer WHERE nullif(c_custkey, 5) NOT IN (SELECT o_custkey FROM orders WHERE o_custkey < 0)",
+        "SELECT c_custkey FROM customer WHERE c_mktsegment NOT IN (SELECT 'BUILDING' FROM orders WHERE o_custkey = c_custkey)",
+    ]
+    want = [sorted(engine.sql(x).collect()) for x in texts]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert [sorted(engine.sql(x).collect()) for x in texts] == want
+        plan = engine.sql(texts[0])._jdf.queryExecution().executedPlan().toString()
+        assert "LeftAnti" in plan and "Broadcast" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(want[1]) == 0 and len(want[3]) == 150
+
+
 def test_random_changes_match_a_model(spark, tmp_path):
     random = np.random.default_rng(11)
     engine, model, saved = Engine(spark, str(tmp_path / "db")), {}, None
@@ -260,10 +299,11 @@ def test_opaque_columns_can_only_be_selected(spark):
         assert engine.execute(text).code == "TypeMismatch"
 
 
-def test_entry_needs_no_language_model_folder():
+@pytest.mark.parametrize("missing", ["quern.llm", "corpus_pipeline", "tiktoken"])
+def test_entry_needs_no_language_model_folder(missing):
     import subprocess
     import sys
 
-    code = "import sys; sys.modules['quern.llm'] = None; sys.path.insert(0, '.'); import quern.engine, quern.queries; print(len(quern.queries.QUERIES))"
+    code = f"import sys; sys.modules[{missing!r}] = None; sys.path.insert(0, '.'); import __spark_entry__ as e; assert e.oracle_sql().keys() == e.queries().keys(); print(len(e.queries()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True, text=True)
     assert done.stdout.strip() == str(len(queries.QUERIES)), done.stderr
