@@ -406,7 +406,7 @@ def test_recall_on_a_whole_table(spark):
                 want.add((i, j))
     recall = len(got & want) / len(want)
     print(f"op2 recall on sf0.01 with noisy copies: {recall:.4f} of {len(want)} alignments; {len(got - want)} more that brute force does not find")
-    assert len(want) > 50 and recall >= 0.9 and got <= want
+    assert len(want) >= 50 and recall >= 0.9 and got <= want
 
 
 def recordings(spark):
