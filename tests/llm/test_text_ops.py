@@ -15,6 +15,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from quern.llm import bpe, lines, packing, queries, simhash
+from quern.llm.components import components
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [
@@ -115,6 +116,26 @@ def test_simhash(spark):
     assert sorted((x.doc_id or 0, x.text or "") for x in simhash.keep_one(rows(spark, both)).collect()) == sorted({(i or 0, t or "") for i, t in both})
 
 
+def test_components_of_random_graphs(spark):
+    random = np.random.default_rng(12)
+    edges = [(int(a), int(b)) for a, b in random.integers(0, 60, (45, 2))] + [(100 + k, 101 + k) for k in range(40)] + [(300, 200), (301, 200), (300, 200), (None, 7), (8, None), (9, 9)]
+    parent = {x: x for e in edges for x in e if x is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    linked = {x for a, b in edges if a is not None and b is not None and a != b for x in (a, b)}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in linked}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_keep_one_keeps_columns_of_any_name(spark):
     df = rows(spark, [(2, "some words of a text"), (1, "some words of a text"), (3, "quite other words, which are alone")]).selectExpr("5 as _key", "*", "6 as _crc", "7 as component", "8 as _fp")
     kept = simhash.keep_one(df)
