@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -45,8 +45,10 @@ class Writer:
                 raise SqlError("ColumnCountMismatch", "a column is named twice")
         else:
             places = list(range(len(info.columns)))
-        df = self.listed(statement.rows, info, places, statement.columns is not None) if statement.rows is not None else self.queried(statement.query, info, places, statement.columns is not None)
-        return self.append(statement.table, info, df, ordered=statement.rows is not None)
+        if statement.rows is not None:
+            return self.append(statement.table, info, self.listed(statement.rows, info, places, statement.columns is not None), ordered=True)
+        df, given = self.queried(statement.query, info, places, statement.columns is not None)
+        return self.append(statement.table, info, df, ordered=False, keyed=info.key in given)
 
     def context(self, scope: Scope | None = None, filtering: bool = False) -> x.Context:
         return self.selector.context(scope or Scope([]), filtering=filtering)
@@ -79,48 +81,49 @@ class Writer:
             return df
         return one.select(F.posexplode(F.array(*built)).alias("__pos", "__row")).select("__pos", "__row.*")
 
-    def queried(self, query: n.Select, info: TableInfo, places: list[int], named: bool) -> DataFrame:
+    def queried(self, query: n.Select, info: TableInfo, places: list[int], named: bool) -> tuple[DataFrame, set[int]]:
+        """The rows to insert, and the places that the query gives values for."""
         found = self.selector.select(query)
         if len(found.fields) > len(places) or (named and len(found.fields) != len(places)):
             raise SqlError("ColumnCountMismatch", f"{len(found.fields)} columns for {len(places)}")
         given = {place: coerced(Typed(F.col(f.internal), f.family), info.columns[place]) for place, f in zip(places, found.fields, strict=False)}
         df = found.df.select(*(given.get(k, self.default(c) if k not in given else None).alias(f"c{k}") for k, c in enumerate(info.columns)))
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        return df.coalesce(1) if size < SMALL else df
+        return df.coalesce(1) if size < SMALL else df, set(given)
 
-    def append(self, name: str, info: TableInfo, df: DataFrame, ordered: bool) -> int:
+    def append(self, name: str, info: TableInfo, df: DataFrame, ordered: bool, keyed: bool = True) -> int:
         """Number the rows, check them and list their folder.
 
         Rowids are the primary key, or count on from the last one. Rows of VALUES are numbered one
         after another; rows of a query by task and place in it, so numbers rise but may skip.
         """
         start, key = self.store.next_rowid(info), info.key
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        # Only where given keys decide the numbers that others get are the rows needed twice.
+        again = key is not None and keyed
+        df = df.persist(StorageLevel.MEMORY_AND_DISK) if again else df
         try:
             if ordered:
                 number = self._in_turn(df, start, key)
             else:
-                first = start if key is None else max(start, (df.agg(F.max(f"c{key}")).first()[0] or 0) + 1)
+                first = max(start, (df.agg(F.max(f"c{key}")).first()[0] or 0) + 1) if again else start
                 counted = F.lit(first).cast("bigint") + F.monotonically_increasing_id()
-                number = counted if key is None else F.coalesce(F.col(f"c{key}"), counted)
+                number = F.coalesce(F.col(f"c{key}"), counted) if again else counted
             rows = df.withColumn(ROWID, number)
             if key is not None:
                 rows = rows.withColumn(f"c{key}", F.col(ROWID))
             folder = self.store.write(rows.select(*info.schema.names))
         finally:
-            df.unpersist()
-        added = replace(info, folders=(folder,))
+            if again:
+                df.unpersist()
         try:
-            self.check(info, added)
+            facts = self.check(info, replace(info, folders=(folder,)))
         except SqlError:
             self.store.files.delete(f"data/{folder}")
             raise
-        last, count = self.store.read(added).agg(F.max(ROWID), F.count(F.lit(1))).first()
-        if last is not None:
-            self.store.rowids[info.id] = max(start, last + 1)
-        if count:
+        if facts["n"]:
+            self.store.rowids[info.id] = max(start, facts["last"] + 1)
             self.store.put(name, self.compacted(replace(info, folders=(*info.folders, folder))))
-        return count
+        return facts["n"]
 
     def _in_turn(self, df: DataFrame, start: int, key: int | None) -> Column:
         place = F.col("__pos").cast("bigint")
@@ -150,18 +153,24 @@ class Writer:
 
     # constraints
 
-    def check(self, before: TableInfo, added: TableInfo, kept: TableInfo | None = None) -> None:
-        """Nulls, primary key and unique indexes of the rows in `added`, alone and against the rest."""
+    def check(self, before: TableInfo, added: TableInfo, kept: TableInfo | None = None) -> Row:
+        """Nulls, primary key and unique indexes of the rows in `added`, alone and against the rest.
+        Returns their number, n, and their last rowid, which one pass finds along with all that the
+        rows tell of themselves."""
         new, old = self.store.read(added), self.store.read(kept or before)
-        required = [k for k, c in enumerate(before.columns) if not c.nullable and not c.primary_key]
-        if required and _any(new.where(" or ".join(f"c{k} is null" for k in required))):
-            raise SqlError("NoDefaultValue", "null in a column that is NOT NULL")
+        required = [f"c{k} is null" for k, c in enumerate(before.columns) if not c.nullable and not c.primary_key]
         unique = [("PrimaryKeyConflict", [f"c{before.key}"])] if before.key is not None else []
         unique += [("UniqueViolation", [f"c{before.position(c)}" for c, _ in i.columns]) for i in before.indexes.values() if i.unique]
-        for code, keys in unique:
-            filled = new.where(" and ".join(f"{k} is not null" for k in keys)).select(*keys)
-            if _any(filled.groupBy(*keys).count().where("count > 1")) or ((kept or before).folders and _any(filled.join(old.select(*keys), keys, "left_semi"))):
-                raise SqlError(code, ", ".join(before.columns[int(k[1:])].name for k in keys))
+        facts = [F.count(F.lit(1)).alias("n"), F.max(ROWID).alias("last"), F.count_if(F.expr(" or ".join(required) or "false")).alias("nulls")]
+        for k, (_, keys) in enumerate(unique):
+            facts += [F.count_if(F.expr(" and ".join(f"{x} is not null" for x in keys))).alias(f"filled{k}"), F.count_distinct(*keys).alias(f"different{k}")]
+        found = new.agg(*facts).first()
+        if found["nulls"]:
+            raise SqlError("NoDefaultValue", "null in a column that is NOT NULL")
+        for k, (code, keys) in enumerate(unique):
+            if found[f"different{k}"] < found[f"filled{k}"] or ((kept or before).folders and _any(new.select(*keys).join(old.select(*keys), keys, "left_semi"))):
+                raise SqlError(code, ", ".join(before.columns[int(x[1:])].name for x in keys))
+        return found
 
     # update and delete
 
@@ -187,11 +196,10 @@ class Writer:
         folders = (*keep, rest)
         if new is not None:
             folder = self.store.write(new.select(*info.schema.names))
-            self.check(info, replace(info, folders=(folder,)), replace(info, folders=folders))
+            facts = self.check(info, replace(info, folders=(folder,)), replace(info, folders=folders))
             folders = (*folders, folder)
             if info.key is not None:
-                last = self.store.read(info, (folder,)).agg(F.max(ROWID)).first()[0]
-                self.store.rowids[info.id] = max(self.store.next_rowid(info), last + 1)
+                self.store.rowids[info.id] = max(self.store.next_rowid(info), facts["last"] + 1)
         self.store.put(name, self.compacted(replace(info, folders=folders)))
         return sum(r["count"] for r in counts)
 
