@@ -55,11 +55,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later steps survive lost executors."""
+#: Whole texts that go to a Python worker at a time.
+TEXT_ROWS = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def staged(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: later steps survive lost executors.
+    arrow_rows: the rows that go to a Python worker at a time while df is made, where they hold whole
+    texts; the session's own number is put back."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(arrow_rows or before))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

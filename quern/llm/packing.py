@@ -16,12 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quern.llm.common import partitions_for, ship, staged
+from quern.llm.common import TEXT_ROWS, partitions_for, ship, staged
 
 DIMENSIONS = 4
 CURVE_BITS = 15
-#: Texts encoded together.
-TEXTS = 1000
 #: Words, and pieces of words, that a worker keeps.
 CACHED_WORDS, CACHED_PIECES = 1_200_000, 500_000
 #: The first character beyond the Latin blocks.
@@ -174,8 +172,8 @@ def tokenized(documents: DataFrame, definition: bytes, end_id: int, pattern: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, signs = WordEncoder(shared.value, pattern), directions(size)
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(at, TEXTS)
+            for at in range(0, whole.num_rows, TEXT_ROWS):
+                batch = whole.slice(at, TEXT_ROWS)
                 bags = [np.append(np.frombuffer(x, "<u4"), end_id).astype(kind) for x in coder.encode(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(curve_keys(bags, signs)), pa.array([x.tobytes() for x in bags], pa.binary())], names=["doc_id", "key", "ids"])
 
@@ -237,7 +235,7 @@ def pack(documents: DataFrame, tokenizer_path: str, size: int = 2048, end_id: in
     """
     with open(tokenizer_path, "rb") as file:
         definition = file.read()
-    coded = staged(tokenized(documents, definition, end_id, pattern), "packing-ids")
+    coded = staged(tokenized(documents, definition, end_id, pattern), "packing-ids", arrow_rows=TEXT_ROWS)
     kind = "<u2" if max(tokenizer(definition).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import ByteBpe
-from quern.llm.common import SPACE, staged
+from quern.llm.common import SPACE, TEXT_ROWS, staged
 from quern.sources.files import Files
 
 KEYS = ("source", "lang", "tokenizer")
@@ -102,7 +102,7 @@ def retokenized(documents: DataFrame, root: str, coder: ByteBpe) -> DataFrame:
     """
     rollup = TokenRollup(documents.sparkSession, root)
     sizes = documents.select("source", "lang", words(F.col("text")).cast("long").alias("n_words"), coder.count(F.col("text")).alias("n_bpe"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
-    sizes = staged(sizes, "rollup-sizes")
+    sizes = staged(sizes, "rollup-sizes", arrow_rows=TEXT_ROWS)
     by_words, by_bpe = (sizes.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(x).alias("n_tokens"), "n_chars") for version, x in (("words-1", "n_words"), ("byte_bpe_50k", "n_bpe")))
     for _ in range(2):
         rollup.commit("load", inserts=by_words)

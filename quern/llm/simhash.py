@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ship, spare, staged
+from quern.llm.common import TEXT_ROWS, ship, spare, staged
 from quern.llm.components import components
 
 BITS = 64
@@ -191,7 +191,7 @@ def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 3) -> Da
     names a component unless all of its component's ids are null.
     """
     ship(documents.sparkSession)
-    marked = staged(documents.select("doc_id", fingerprints(F.col("text"), width).alias("fp"), *(c.alias(k) for k, c in row_keys().items())), "simhash-fingerprints")
+    marked = staged(documents.select("doc_id", fingerprints(F.col("text"), width).alias("fp"), *(c.alias(k) for k, c in row_keys().items())), "simhash-fingerprints", arrow_rows=TEXT_ROWS)
     nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     keyed = nodes.select("fp", F.col("fp").alias("node"))
     edges = near_links(keyed, radius)

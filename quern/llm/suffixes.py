@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import new_folder, partitions_for, ship, spare, staged
+from quern.llm.common import TEXT_ROWS, new_folder, partitions_for, ship, spare, staged
 
 GRAM = 32
 #: Bytes hashed at a time; also the room for positions below a truncated hash.
@@ -569,7 +569,7 @@ def without_repeats(documents: DataFrame, length: int = 100, hot: int = 1000, ho
     firsts = rows.groupBy(F.sha2(F.coalesce("_text", F.lit("")), 256)).agg(F.min(order)["_rid"].alias("_rid"))
     leads = staged(firsts.select("_rid"), "suffix-firsts").withColumn("_first", F.lit(True))
     searched = rows.join(leads.hint("shuffle_hash"), "_rid", "left_semi").select("_rid", F.col("_id").alias("doc_id"), F.col("_text").alias("text"))
-    runs = staged(repeated_anchors(searched, length, parts, hot), "suffix-runs")
+    runs = staged(repeated_anchors(searched, length, parts, hot), "suffix-runs", arrow_rows=TEXT_ROWS)
     spans = by_document(repeats(searched, runs, length, parts, hot_broadcast), {"begin": "<u4", "end": "<u4"}, parts)
     spans = spans.select("_rid", F.col("begin").alias("_begin"), F.col("end").alias("_end"))
 
