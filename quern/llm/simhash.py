@@ -19,6 +19,14 @@ BITS = 64
 SEED = 42
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the 64-bit hashes have."""
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """The majority bit of the XXH64 of every shingle of width words; 0 for a text without words."""
     words = (text or "").encode().lower().split()
@@ -31,10 +39,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     last = ends[width - 1 :] if len(words) >= width else ends[-1:]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, last, strict=False)), np.uint64, count)
-    ones = np.zeros(BITS, np.int64)
-    for k in range(0, count, 1 << 16):
-        ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > count, bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprints(text: Column, width: int = 3) -> Column:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from quern.llm import jaccard
+from quern.llm import jaccard, simhash
 
 
 def brute_kept(docs):
@@ -72,3 +72,66 @@ def test_sketches_never_tell_similar_sets_apart():
         assert kept or not similar
         pruned += not kept
     assert pruned > 50
+
+
+def test_wide_sketches_of_any_two_sizes(spark):
+    """Similar sets are never told apart, whatever their sizes; others are, however long they are."""
+    chance, rows = np.random.default_rng(6), []
+    for size in (1, 3, 100, 127, 128, 129, 140, 1000, 1025, 5000):
+        a = np.unique(chance.integers(0, 1 << 63, size, dtype=np.uint64))
+        for changed in {0, size // 20, size // 9, size // 2, size}:
+            for more in (0, size // 8, 2 * size):
+                b = np.unique(np.concatenate([a[changed:], chance.integers(0, 1 << 63, changed + more, dtype=np.uint64)]))
+                similar = 10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b))
+                rows.append((jaccard.wide_sketch(a).tolist(), jaccard.wide_sketch(b).tolist(), len(np.setxor1d(a, b)), len(a) + len(b), similar))
+    found = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, apart long, total long, similar boolean")
+    pruned = 0
+    for r in found.select("apart", "total", "similar", jaccard.differing(found.a, found.b).alias("bits")).collect():
+        assert r.bits is None or r.bits <= r.apart
+        kept = r.bits is not None and 180 * r.bits <= 20 * r.total
+        assert kept or not r.similar
+        pruned += not kept
+    assert pruned > 60 and any(r[4] for r in rows)
+
+
+def test_only_sets_that_may_be_similar_travel(spark, monkeypatch):
+    """Long texts that share a passage, and one near copy: two whole sets are compared, not all."""
+    chance = random.Random(3)
+    passage = " ".join(f"c{k}" for k in range(500))
+    rows = [(i, " ".join([*(f"w{chance.randrange(10**9)}" for _ in range(1500)), passage])) for i in range(30)]
+    rows.append((30, rows[7][1] + " " + " ".join(f"e{k}" for k in range(100))))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    sets, before = [], jaccard.staged
+
+    def staged(df, name, **how):
+        made = before(df, name, **how)
+        if name == "jaccard-sets":
+            sets.append(made.count())
+        return made
+
+    monkeypatch.setattr(jaccard, "staged", staged)
+    found = jaccard.near_copies(docs, sample=0).collect()  # no shingle is known to be frequent, so passages meet
+    groups = {}
+    for r in found:
+        groups.setdefault(r.component, []).append(r.doc_id)
+    assert sorted(min(x) for x in groups.values()) == brute_kept(rows) == list(range(30))
+    assert sum(sets) == 2
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """Near copies of few differing bits are found by op3's vantage trees over SimHash fingerprints."""
+    text = [f"w{k}" for k in range(1000)]
+    rows = [(1, " ".join(text)), (2, " ".join([*text[:-6], "other"])), (3, "apart " * 9)]
+    prints = [simhash.majority(jaccard.shingles(t)) for _, t in rows]
+    assert 1 <= (prints[0] ^ prints[1]).bit_count() <= 3 < (prints[0] ^ prints[2]).bit_count()
+    linked, before = [], jaccard.near_links
+
+    def near_links(nodes, radius):
+        made = before(nodes, radius)
+        linked.extend({r.a, r.b} for r in made.collect())
+        return made
+
+    monkeypatch.setattr(jaccard, "near_links", near_links)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
+    assert linked and all({x % (1 << 64) for x in pair} == set(prints[:2]) for pair in linked)
