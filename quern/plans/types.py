@@ -5,6 +5,7 @@ from __future__ import annotations
 from enum import Enum
 from typing import NamedTuple
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,19 +60,44 @@ def null(family: Family) -> Column:
 NUMBER = {Family.INT: r"^[+-]?[0-9]+$", Family.REAL: r"(?i)^[+-]?([0-9]+\.?[0-9]*(e[+-]?[0-9]+)?|\.[0-9]+(e[+-]?[0-9]+)?|inf|infinity|nan)$"}
 
 
+def shortest(value: Column) -> Column:
+    """A positive real as `d.ddd` or `d.dddEn`, in the fewest digits that read back as it, of these the
+    nearest to it. Spark's own text is Java's, which has digits too many or not the nearest before
+    Java 19 (JDK-4511638): 1.1807E21 as 1.1807000000000001E21. The same digits come from the Jackson
+    library that Spark reads JSON with; a call of it is an expression like any other to Catalyst."""
+    jvm = SparkContext._active_spark_context._jvm
+    spark = jvm.org.apache.spark.sql
+
+    def call(name: str, kind: object, method: str, argument: object) -> object:
+        owner = jvm.java.lang.Class.forName(name, True, jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        none = getattr(getattr(jvm.scala, "None$"), "MODULE$")
+        return spark.catalyst.expressions.objects.StaticInvoke(owner, kind, method, jvm.PythonUtils.toSeq([argument]), jvm.PythonUtils.toSeq([]), True, True, True, none)
+
+    java_text = spark.types.ObjectType(jvm.java.lang.Class.forName("java.lang.String"))
+    digits = call("com.fasterxml.jackson.core.io.schubfach.DoubleToDecimal", java_text, "toString", spark.classic.ExpressionUtils.expression(value.cast("double")._jc))
+    text = Column(spark.classic.ExpressionUtils.column(call("org.apache.spark.unsafe.types.UTF8String", spark.types.DataTypes.StringType, "fromString", digits)))
+    # It gives two digits where one would do, which only the least reals show: 4.9E-324.
+    one = F.format_string("%.0E", value)
+    return F.when((value > 0) & (value < 2e-322) & (one.try_cast("double") == value), one).otherwise(text)
+
+
 def plain_real(value: Column) -> Column:
     """The decimal digits of a real without an exponent and without a fraction of 0: 1e20 as a 1 and
-    twenty zeros, 0.0005 as it is written. Spark's own text has the digits, as `d.ddd` or `d.dddEn`."""
-    text = F.abs(value).cast("string")
-    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
-    power = F.when(text.contains("E"), F.substring_index(text, "E", -1)).cast("int")
-    digits = F.replace(mantissa, F.lit("."), F.lit(""))
-    size, whole = F.char_length(digits), power + 1
-    large = F.when(size <= whole, F.rpad(digits, whole, F.lit("0"))).otherwise(F.concat(F.left(digits, whole), F.lit("."), F.substr(digits, whole + 1)))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -whole), digits)
+    twenty zeros, 0.0005 as it is written."""
+
+    def spelled(text: Column) -> Column:
+        mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+        power = F.when(text.contains("E"), F.substring_index(text, "E", -1)).cast("int")
+        digits = F.replace(mantissa, F.lit("."), F.lit(""))
+        size, whole = F.char_length(digits), power + 1
+        large = F.when(size <= whole, F.rpad(digits, whole, F.lit("0"))).otherwise(F.concat(F.left(digits, whole), F.lit("."), F.substr(digits, whole + 1)))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -whole), digits)
+        return F.when(power.isNull(), mantissa).when(power >= 0, large).otherwise(small)
+
+    # As a lambda's variable the text is made once; repeated, it would outgrow what Java compiles.
+    plain = F.get(F.transform(F.array(shortest(F.abs(value))), spelled), F.lit(0))
     sign = F.when(value < 0, "-").otherwise("")
-    plain = F.when(power.isNull(), mantissa).when(power >= 0, large).otherwise(small)
-    return F.when(F.isnan(value), "nan").when(F.abs(value) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, plain))
+    return F.when(value.isNull(), None).when(F.isnan(value), "nan").when(F.abs(value) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, plain))
 
 
 def as_text(value: Typed) -> Column:

@@ -1,16 +1,19 @@
 """The engine: parity with DuckDB, logic test files, crashes, transactions, random expressions."""
 
 from concurrent.futures import ThreadPoolExecutor
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern import cli, queries, slt
 from quern.engine import Engine
 from quern.errors import CODES, SqlError
 from quern.plans import nodes as n
+from quern.plans import types
 from quern.plans.lexer import tokenize
 from quern.plans.parser import parse, parse_expression, statements
 from quern.sources.files import Files
@@ -307,3 +310,21 @@ def test_entry_needs_no_language_model_folder(missing):
     code = f"import sys; sys.modules[{missing!r}] = None; sys.path.insert(0, '.'); import __spark_entry__ as e; assert e.oracle_sql().keys() == e.queries().keys(); print(len(e.queries()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True, text=True)
     assert done.stdout.strip() == str(len(queries.QUERIES)), done.stderr
+
+
+def test_reals_as_text_in_the_fewest_digits(spark):
+    """Whatever the Java version: large, small and random reals, and what has no digits."""
+    chance = np.random.default_rng(4)
+    values = chance.integers(0, 1 << 64, 3000, dtype=np.uint64).view(np.float64).tolist() + [(k + 1) * 1e17 for k in range(11_800, 12_800)]
+    values += [k * 5e-324 for k in range(1, 300)] + [2e23, -1e23, 8.41e21, 2.2250738585072014e-308, 1.7976931348623157e308, -2e-3, 1e7, 0.1 + 0.2, -0.5, 0.00099]
+    values = [x for x in values if np.isfinite(x)]
+
+    def plain(value):
+        text = format(Decimal(repr(value)), "f")
+        return text.rstrip("0").rstrip(".") if "." in text else text
+
+    column = types.plain_real(F.col("v"))
+    found = spark.createDataFrame([(x,) for x in values], "v double").select("v", column.alias("t")).collect()
+    assert [r.t for r in found] == [plain(r.v) for r in found]
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("-inf"),), (0.0,)], "v double").select(column.alias("t"))
+    assert [r.t for r in odd.collect()] == [None, "nan", "-inf", "0"]
