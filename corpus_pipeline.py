@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import public_tokenizers
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import jaccard, lines, packing, quality, simhash, suffixes
-from quern.llm.common import new_folder
+from quern.llm.common import new_folder, releasing
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -50,11 +50,12 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     go by their place in the table, so of equal rows one keeps its text. An empty table gives an empty
     one; other columns are left out."""
 
-    def text(batch: pd.Series) -> pd.Series:
-        return pd.Series([x.decode("utf-8", "ignore") for x in batch], dtype=object)
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([x.decode("utf-8", "ignore") for x in batch], dtype=object)
 
-    text.__annotations__ = {"batch": pd.Series, "return": pd.Series}
-    kept = suffixes.without_repeats(docs.select(*COLUMNS)).withColumn("text", F.pandas_udf(text, "string")("_kept.bytes"))
+    text.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    kept = suffixes.without_repeats(docs.select(*COLUMNS)).withColumn("text", F.pandas_udf(releasing(text), "string")("_kept.bytes"))
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -9,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.common import TEXT_ROWS, ship, staged
+from quern.llm.common import TEXT_ROWS, releasing, ship, staged
 from quern.llm.components import components
 from quern.llm.simhash import SEED, majority, near_links, row_keys
 
@@ -26,11 +28,12 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def shingle_sets(text: Column, width: int = WIDTH) -> Column:
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series([shingles(x, width).view(np.int64) for x in batch], dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([shingles(x, width).view(np.int64) for x in batch], dtype=object)
 
-    run.__annotations__ = {"batch": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "array<bigint>")(text)
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(releasing(run), "array<bigint>")(text)
 
 
 def frequent(documents: DataFrame, width: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,22 +82,23 @@ def prefixes(text: Column, order, width: int, percent: int) -> Column:
     and prefix: its rarest shingles, so many that two sets of at least percent similarity have one of
     them in common."""
 
-    def run(batch: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, counts = order.value
-        rows = []
-        for x in batch:
-            grams = shingles(x, width)
-            n = len(grams)
-            rank = np.zeros(n, np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                rank = np.where(known[at] == grams, counts[at], 0)
-            first = grams[np.argsort(rank, kind="stable")][: n - -(-percent * n // 100) + 1]
-            rows.append((np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), SEED)).astype(np.int64), n, np.uint64(majority(grams)).astype(np.int64), *sketch(grams), wide_sketch(grams), first.view(np.int64)))
-        return pd.DataFrame(rows, columns=["node", "n", "fp", *SKETCH, "wide", "prefix"])
-
-    run.__annotations__ = {"batch": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(run, "node bigint, n bigint, fp bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, wide array<bigint>, prefix array<bigint>")(text)
+        for batch in batches:
+            rows = []
+            for x in batch:
+                grams = shingles(x, width)
+                n = len(grams)
+                rank = np.zeros(n, np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                    rank = np.where(known[at] == grams, counts[at], 0)
+                first = grams[np.argsort(rank, kind="stable")][: n - -(-percent * n // 100) + 1]
+                rows.append((np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), SEED)).astype(np.int64), n, np.uint64(majority(grams)).astype(np.int64), *sketch(grams), wide_sketch(grams), first.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["node", "n", "fp", *SKETCH, "wide", "prefix"])
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(releasing(run), "node bigint, n bigint, fp bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, wide array<bigint>, prefix array<bigint>")(text)
 
 
 def near_copies(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = 3, sample: int = 5_000, most: int = 200_000) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import input_bytes, ship, slices, spare
+from quern.llm.common import empty, input_bytes, releasing, ship, slices, spare
 from quern.sources.files import Files
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -206,11 +206,11 @@ class LineIndex:
             if found:
                 yield share()
 
-        return documents.select("text").mapInArrow(run, LAYER)
+        return documents.select("text").mapInArrow(releasing(run), LAYER)
 
     def _layered(self, layers: list[tuple[str, int]]) -> DataFrame:
         if not layers:
-            return self.spark.createDataFrame([], LAYER)
+            return empty(self.spark, LAYER)
         return self.spark.read.schema(LAYER).parquet(*(f"{self.root}/{x}" for x, _ in layers))
 
     def refs(self) -> DataFrame:
@@ -222,7 +222,7 @@ class LineIndex:
 
     def filters(self) -> DataFrame:
         if self.filter_folder is None:
-            return self.spark.createDataFrame([], FILTERS)
+            return empty(self.spark, FILTERS)
         return self.spark.read.schema(FILTERS).parquet(f"{self.root}/{self.filter_folder}")
 
     def commit(self, batch_id: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
@@ -231,7 +231,7 @@ class LineIndex:
         if batch_id in self.batches:
             return False
         name = uuid.uuid4().hex
-        batch = self.spark.createDataFrame([], LAYER)
+        batch = empty(self.spark, LAYER)
         for documents, sign in ((inserts, 1), (deletes, -1)):
             if documents is not None:
                 batch = batch.union(self.postings(documents, sign))
@@ -294,9 +294,9 @@ class LineIndex:
         changes = self._layered(new).select(shard, "high", "low", F.lit(0).cast("long").alias("before"), F.col("change").alias("after"))
         stood = self._layered(self.layers).select(shard, "high", "low", F.col("change").alias("before"), F.col("change").alias("after"))
         if not self.layers:
-            everything, old = changes, self.spark.createDataFrame([], FILTERS)
+            everything, old = changes, empty(self.spark, FILTERS)
         elif shards != self.shards:
-            everything, old = stood.union(changes), self.spark.createDataFrame([], FILTERS)
+            everything, old = stood.union(changes), empty(self.spark, FILTERS)
         else:
             touched = changes.select("shard").distinct()
             everything, old = stood.join(touched, "shard", "left_semi").union(changes), self.filters().join(touched, "shard", "left_semi")
@@ -336,7 +336,7 @@ class LineIndex:
 
         keys.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         marked = documents.withColumn(print_, F.sha2(F.coalesce("text", F.lit("")), 256))
-        found = marked.select(F.col(print_).alias("print"), F.explode(F.arrow_udf(keys, "array<struct<high:long,low:long>>")("text")).alias("key")).distinct()
+        found = marked.select(F.col(print_).alias("print"), F.explode(F.arrow_udf(releasing(keys), "array<struct<high:long,low:long>>")("text")).alias("key")).distinct()
         often = self.refs().where(F.col("n") >= self.min_docs).select("key")
         gathered = found.join(often, "key").groupBy("print").agg(F.collect_list("key").alias(common)).withColumnRenamed("print", print_)
         return self._rewritten(marked.join(gathered, print_, "left").drop(print_), None, common)
@@ -362,7 +362,7 @@ class LineIndex:
 
         clean.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
         own = F.lit(None).cast("int") if common is None else F.col(common)
-        done = documents.withColumn(clean_, F.arrow_udf(clean, "text string, n_lines long, n_dropped long")("text", own))
+        done = documents.withColumn(clean_, F.arrow_udf(releasing(clean), "text string, n_lines long, n_dropped long")("text", own))
         return done.withColumns({x: F.col(clean_)[x] for x in ("text", "n_lines", "n_dropped")}).drop(clean_, *([common] if common else []))
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import TEXT_ROWS, ship, spare, staged
+from quern.llm.common import TEXT_ROWS, releasing, ship, spare, staged
 from quern.llm.components import components
 
 BITS = 64
@@ -182,7 +182,7 @@ def near_links(nodes: DataFrame, radius: int = 3, leaf: int = 8192, sample: int
         return pa.table({"a": node.take(pa.array(left)), "b": node.take(pa.array(right))})
 
     join.__annotations__ = {"group": pa.Table, "return": pa.Table}
-    routed = nodes.mapInArrow(route, "shard long, fp long, node long")
+    routed = nodes.mapInArrow(releasing(route), "shard long, fp long, node long")
     return routed.groupBy("shard").applyInArrow(join, "a long, b long")
 
 
