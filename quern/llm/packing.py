@@ -177,7 +177,7 @@ def tokenized(documents: DataFrame, definition: bytes, end_id: int, pattern: str
                 bags = [np.append(np.frombuffer(x, "<u4"), end_id).astype(kind) for x in coder.encode(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(curve_keys(bags, signs)), pa.array([x.tobytes() for x in bags], pa.binary())], names=["doc_id", "key", "ids"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(run), "doc_id long, key long, ids binary")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key long, ids binary")
 
 
 class Packer:
@@ -251,5 +251,6 @@ def pack(documents: DataFrame, tokenizer_path: str, size: int = 2048, end_id: in
         if rows := list(packer.finish()):
             yield made(rows)
 
+    # Tasks that encode keep their memory from one to the next; those that pack follow in the same workers and release it.
     ordered = coded.repartitionByRange(partitions_for(documents), "key", "doc_id").sortWithinPartitions("key", "doc_id", F.crc32("ids"))
     return ordered.select("doc_id", "ids").mapInArrow(releasing(run), PIECES)
